@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import cut, fold, mapped, maybe_broadcast, record
 from sluice.llm.labelled import labels_sample
-from sluice.llm.stats import document_stats, ratios
+from sluice.llm.stats import FEATURES, document_stats, ratios
 
 #: Labelled rows to learn from, at most (by a hash of their ids); sums of normal equations come from as many tasks.
 LEARN_ROWS, LEARN_TASKS = 100_000, 8
 FOLDS, BINS = 4, 1000
-FEATURES = list(ratios())
 
 
 @dataclass(frozen=True)

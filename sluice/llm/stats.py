@@ -14,6 +14,9 @@ from sluice.llm.common import U64, gram_starts, grams, mapped, mix, pieces, reco
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_digits",
           "n_stops", "n_shouts", "n_pipes", "n_punct", "n_long", "n_short")
+#: Names of the ratios, in order.
+FEATURES = ("log_words", "word_len", "symbols", "dup_lines", "repeats", "line_words", "distinct", "upper", "digits",
+            "stops", "shouts", "pipes", "punct", "long", "short")
 _OUT = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS)])
 DDL = ", ".join(["doc_id bigint", *(f"{c} bigint" for c in COUNTS)])
 
