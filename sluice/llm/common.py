@@ -76,6 +76,9 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII punctuation: what lies between plain words.
+PLAIN = _WS.copy()
+PLAIN[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -130,11 +133,12 @@ class Words:
         return mix(h + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def words(arr: pa.Array, lower: bool = False) -> Words:
+def words(arr: pa.Array, lower: bool = False, between: np.ndarray = _WS) -> Words:
+    """Words of the texts, between bytes of the given class (white space)."""
     data, off = utf8(arr)
     if lower:
         data = _LOWER[data]
-    isw = ~_WS[data]
+    isw = ~between[data]
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
