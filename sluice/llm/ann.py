@@ -110,7 +110,7 @@ def _rows(a: pa.ChunkedArray, dim: int) -> np.ndarray:
     return a.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, beam: int = 64, ratio: float = 1.5, copies: int = 4, spread: float = 1.1, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, beam: int = 96, ratio: float = 1.5, copies: int = 4, spread: float = 1.1, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, by Euclidean distance in double precision.
 
     Needs vec_id and embedding; other columns are ignored. Queries are the rows where ``is_query`` holds;
