@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import ann, katz, mix, packing, quality, rules, simhash, toxicity
+from sluice.llm import ann, katz, mix, packing, passages, quality, rules, simhash, toxicity
 from sluice.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_lm_scoring")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_documents(table(spark, sf_dir, "documents"), katz.held_out())
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
