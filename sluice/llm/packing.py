@@ -27,8 +27,8 @@ _DDL = "doc_id bigint, piece int, start bigint, length bigint, ids binary, _part
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Rows of the table of partition counts up to which it is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Tokenized units that a task remembers.
-CACHE = 400_000
+#: Tokenized units that a worker remembers, about.
+CACHE = 300_000
 
 
 def vocabulary() -> str:
@@ -37,30 +37,48 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary of a byte-level BPE file by bytes, if its ids are in order of its merges; else None."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    char = {chr(c): c for c in plain} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in plain)}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    made = [model["vocab"].get(a + b) for a, b in merges]
+    if model.get("type") != "BPE" or None in made or made != sorted(made):
+        return None
+    return {bytes(char[c] for c in t): i for t, i in model["vocab"].items() if all(c in char for c in t)}
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids, unit by unit with a cache.
 
     A unit is a run of non-space with the space before it, or a run of spaces; the tokenizer's own
-    pattern never crosses these, so the units' ids joined are the text's.
+    pattern never crosses these, so the units' ids joined are the text's. Ids are those of the tokenizer
+    file; where it is a byte-level BPE with ids in order of merges, a quicker encoder with the same
+    merges makes them, and the tokenizer itself where not.
     """
 
     def __init__(self, path: str):
         import re
 
+        import tiktoken
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
         self.unit = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
         self.seen: dict[str, bytes] = {}
-
-    def learn(self, units: list[str]) -> None:
-        for lo in range(0, len(units), 20_000):
-            part = units[lo : lo + 20_000]
-            for u, e in zip(part, self.t.encode_batch(part, add_special_tokens=False)):
-                self.seen[u] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str], chars: int = 2 << 20) -> Iterator[bytes]:
+        ranks = _byte_ranks(path)
+        if ranks:
+            self.ids = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if k != b"<|endoftext|>"}, special_tokens={}).encode_ordinary
+        else:
+            t = Tokenizer.from_file(path)
+            t.encode_special_tokens = True
+            self.ids = lambda u: t.encode(u, add_special_tokens=False).ids
+
+    def encode(self, texts: list[str], chars: int = 1 << 20) -> Iterator[bytes]:
         lo = 0
         while lo < len(texts):
             hi, n = lo + 1, len(texts[lo])
@@ -68,26 +86,35 @@ class Encoder:
                 n += len(texts[hi])
                 hi += 1
             units = [self.unit(t) for t in texts[lo:hi]]
-            new = set().union(*units).difference(self.seen)
-            if len(self.seen) + len(new) > CACHE and self.seen:
-                self.seen = {}
-                new = set().union(*units)
-            self.learn(list(new))
+            if len(self.seen) > CACHE:  # keep what this run needs, which has the common ones
+                self.seen = {u: self.seen[u] for u in set().union(*units) if u in self.seen}
+            for u in set().union(*units).difference(self.seen):
+                self.seen[u] = np.array(self.ids(u), dtype="<u4").tobytes()
             for u in units:
                 yield b"".join(map(self.seen.__getitem__, u))
             lo = hi
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def tokenized(docs: DataFrame, capacity: int, vocab: str | None, end_id: int = 0) -> DataFrame:
     """Pieces of each document's ids (then ``end_id``): doc_id, piece, start, length, ids (binary, u32le), and their rank in their partition."""
     path = vocab or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seen = Encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        enc, part, seen = encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         tail = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                some = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, 500):
+                some = b.slice(lo, 500)
                 cols: tuple[list, ...] = ([], [], [], [], [], [])
                 for d, ids in zip(some.column(0).to_pylist(), enc.encode([t or "" for t in some.column(1).to_pylist()])):
                     ids += tail
