@@ -110,6 +110,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     return laid.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, rounds * F.col("size") + part).otherwise(0).cast("bigint").alias("taken"))
 
 
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """The documents as the mix takes them: each row as often as the words taken of it make whole documents, rounded.
+
+    Rows that share an id (or have none) share their mean. Columns stay as they are.
+    """
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_times"))
+    times = cut(taken.select("_id", F.floor(F.col("_times") + 0.5).cast("int").alias("_times")).where("_times > 0"))
+    rows = docs.join(times, docs["doc_id"].eqNullSafe(F.col("_id")))
+    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_turn")).drop("_turn")
+
+
 #: DuckDB SQL of ``mix`` with its defaults.
 SQL = r"""
 WITH slim AS (

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut, fold, mapped, maybe_broadcast, record
+from sluice.llm.common import cut, fold, mapped, maybe_broadcast, pieces, record
 from sluice.llm.labelled import labels_sample
-from sluice.llm.stats import FEATURES, document_stats, ratios
+from sluice.llm.stats import FEATURES, document_stats, measure, ratio_matrix, ratios
 
 #: Labelled rows to learn from, at most (by a hash of their ids); sums of normal equations come from as many tasks.
 LEARN_ROWS, LEARN_TASKS = 100_000, 8
@@ -119,6 +119,13 @@ def fit(rows: DataFrame, size: int = 256, width: float = 3.0, lam: float = 0.1,
     return Model(phi, final, x / BINS, y)
 
 
+def train(stats: DataFrame, labels: DataFrame, held: Column, learn_rows: int = LEARN_ROWS) -> Model | None:
+    """A model from the labels whose doc_id is not ``held`` and the documents' FEATURES."""
+    sample = labels_sample(labels, "quality", ~F.coalesce(held, F.lit(False)), learn_rows)
+    rows = stats.join(maybe_broadcast(sample, sample.count(), 4 * learn_rows), "doc_id")
+    return fit(rows.withColumn("f", F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(FOLDS)).cast("int")))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, held: Column, learn_rows: int = LEARN_ROWS) -> DataFrame:
     """(doc_id, score) of each document: the calibrated chance that its quality label is 1.
 
@@ -127,9 +134,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, held: Column, learn_rows:
     and repeated ids are scored row by row. With no label to learn from, every score is 0.5.
     """
     rows = cut(document_stats(docs).select("doc_id", *[c.cast("double").alias(f) for f, c in ratios().items()]))
-    sample = labels_sample(labels, "quality", ~F.coalesce(held, F.lit(False)), learn_rows)
-    train = rows.join(maybe_broadcast(sample, sample.count(), 4 * learn_rows), "doc_id")
-    model = fit(train.withColumn("f", F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(FOLDS)).cast("int")))
+    model = train(rows, labels, held, learn_rows)
     if model is None:
         return rows.select("doc_id", F.lit(0.5).alias("score"))
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -146,7 +151,17 @@ def held_out(docs_id: str | Column = "doc_id") -> Column:
     return fold(docs_id, 4) == 2
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents that the classifier doesn't reject. Rows with a null id, which can't be matched to a score, stay."""
-    bad = score_quality(docs, labels, held_out()).where(F.col("score") < threshold).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, learn_rows: int = LEARN_ROWS) -> DataFrame:
+    """The documents, all columns, whose score is the threshold at least; each row is judged by its own text. All stay where there is no label to learn from."""
+    stats = document_stats(docs).select("doc_id", *[c.cast("double").alias(f) for f, c in ratios().items()])
+    model = train(stats, labels, held_out(), learn_rows)
+    if model is None:
+        return docs
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in pieces(b, "text"):
+                yield p.filter(pa.array(model(ratio_matrix(measure(p.column(text)))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -140,7 +140,7 @@ def hex16(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 5) -> DataFrame:
     """The documents, one of each near-duplicate group: the one with the least doc_id, its first row if that repeats.
 
     Documents whose group has no known id stay.

@@ -80,6 +80,17 @@ def measure(arr: pa.Array) -> list[np.ndarray]:
     ]
 
 
+def ratio_matrix(counts: list[np.ndarray]) -> np.ndarray:
+    """``ratios`` of the counts that ``measure`` gives, a row a text, in the order of FEATURES."""
+    c = {k: v.astype(float) for k, v in zip(COUNTS, counts)}
+    over = lambda a, b: c[a] / np.maximum(c[b], 1)
+    return np.column_stack([
+        np.log1p(c["n_words"]), over("word_chars", "n_words"), over("n_symbols", "n_words"), over("n_dup_lines", "n_lines"), over("n_repeat_words", "n_words"),
+        np.log1p(over("n_words", "n_lines")), over("n_distinct", "n_words"), over("n_upper", "word_chars"), over("n_digits", "word_chars"),
+        over("n_stops", "n_words"), over("n_shouts", "n_words"), over("n_pipes", "n_words"), over("n_punct", "n_words"), over("n_long", "n_words"), over("n_short", "n_words"),
+    ])
+
+
 def document_stats(docs: DataFrame) -> DataFrame:
     """doc_id and COUNTS, one row a document, whatever its id; other columns are ignored."""
 
