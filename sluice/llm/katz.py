@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import U64, cut, fold, mapped, mix, pieces, words
+from sluice.llm.common import U64, cut, fold, mapped, mix, pieces, release, words
 
 CHUNK_TOKENS = 2_000_000
 HOT = 4096
@@ -47,7 +47,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as compressed bytes, integers by planes of their bytes."""
     head = ";".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode()
     body = b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + body)
+    return zstandard.ZstdCompressor(level=3).compress(len(head).to_bytes(4, "little") + head + body)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -72,7 +72,11 @@ def chunks(docs: DataFrame, held: Column, size: int) -> DataFrame:
         def flush():
             ids, null, held_, sizes, toks = (np.concatenate(c) for c in zip(*have))
             codes, vocab = pd.factorize(toks)
-            return pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([len(toks)]), pa.array([pack(ids, null, held_, sizes, vocab, codes.astype(np.uint32))], pa.binary())], schema=out)
+            order = np.argsort(-np.bincount(codes), kind="stable")  # common tokens get low codes, which pack well
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            codes, vocab = rank[codes], vocab[order]
+            return pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([len(toks)]), pa.array([pack(ids, null, held_, sizes, vocab, codes)], pa.binary())], schema=out)
 
         for b in batches:
             for p in pieces(b, "text"):
@@ -305,8 +309,11 @@ def score_documents(docs: DataFrame, held: Column, chunk_tokens: int = CHUNK_TOK
     first = cut(c.select("chunk", "blob").mapInArrow(ask_tokens(parts), msg).groupBy("part").applyInArrow(answer_tokens(parts), _ANSWER_DDL))
     stats = np.array([np.frombuffer(r[0]) for r in first.where("stats IS NOT NULL").select("stats").collect()]).reshape(-1, 2)  # a row of two numbers a part
     tokens, distinct = stats.sum(0)
+    release(docs.sparkSession)
     asked = c.groupBy("chunk").cogroup(first.drop("stats").groupBy("chunk")).applyInArrow(ask_pairs(parts, tokens, distinct), msg)
     second = cut(asked.groupBy("part").applyInArrow(answer_pairs(tokens, distinct), _ANSWER_DDL))
+    del asked
+    release(docs.sparkSession)
     by_count, hot = np.zeros(K + 1), {}
     for r in second.where("stats IS NOT NULL").select("stats").toLocalIterator():  # HOT contexts a part at most
         n, number, *sums = unpack(r[0])
