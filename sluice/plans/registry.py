@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import importlib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sluice.sources.tables import TABLES, register
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -37,6 +40,17 @@ def op(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def sql_op(name: str, sql: str, oracle: str | None = None) -> None:
+    """Registers a query given as Spark SQL over the tables it names; ``oracle`` where the other dialect differs."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir, [t for t in TABLES if re.search(rf"\b{t}\b", sql)])
+        return spark.sql(sql)
+
+    run.__name__ = name
+    op(name, oracle or sql)(run)
+
+
 def load() -> dict[str, Op]:
     """All operators, in registration order."""
     for m in MODULES:

@@ -26,3 +26,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder name in the cluster's shared folder (spark.checkpoint.dir); a local one only where that is unset."""
+    import tempfile
+    import uuid
+
+    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluice-")
+    return f"{at.rstrip('/')}/sluice-{uuid.uuid4().hex}"
