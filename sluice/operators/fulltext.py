@@ -23,3 +23,64 @@ def term_statistics(post: DataFrame) -> DataFrame:
     """(term, df, tf) over all documents."""
     key = post.columns[0]
     return post.groupBy("term", key).agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+
+
+def index(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, ids): the inverted index, ids of a term sorted."""
+    return postings(docs, key, text).groupBy("term").agg(F.sort_array(F.collect_set(key)).alias("ids"))
+
+
+def parse(query: str) -> tuple[list[str], list[list[str]]]:
+    """Distinct terms, those of phrases included, and phrases of two words or more."""
+    import re
+
+    word = re.compile(r"[^\W_]+")
+    phrases = [p for p in (word.findall(x.lower()) for x in re.findall(r'"([^"]*)"', query)) if p]
+    return list(dict.fromkeys(word.findall(query.lower()))), [p for p in phrases if len(p) > 1]
+
+
+def _has_phrase(words: Column, phrase: list[str]) -> Column:
+    n = len(phrase)
+    want = F.array(*map(F.lit, phrase))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+    return F.array_contains(words, phrase[0]) & F.exists(starts, lambda i: F.slice(words, i, n) == want)
+
+
+def matching(docs: DataFrame, key: str, text: str, query: str, mode: str = "all", exclude: str = "") -> DataFrame:
+    """(key, words) of the documents that have all (or any) terms and phrases, and none of the excluded ones; no index is needed, a document is judged by itself."""
+    terms, phrases = parse(query)
+    no_terms, no_phrases = parse(exclude)
+    if not terms:
+        return docs.select(key, tokens(text).alias("words")).limit(0)
+    loose = [t for t in terms if not any(t in p for p in phrases)]
+    w = F.col("words")
+    tests = [F.array_contains(w, t) for t in loose] + [_has_phrase(w, p) for p in phrases]
+    keep = tests[0]
+    for t in tests[1:]:
+        keep = keep & t if mode == "all" else keep | t
+    alone = [t for t in no_terms if not any(t in p for p in no_phrases)]
+    for t in [F.array_contains(w, t) for t in alone] + [_has_phrase(w, p) for p in no_phrases]:
+        keep = keep & ~t
+    return docs.select(key, tokens(text).alias("words")).where(keep)
+
+
+def bm25(docs: DataFrame, key: str, text: str, query: str, k: int | None = None, mode: str = "any", exclude: str = "") -> DataFrame:
+    """(key, score) by BM25 (k1 1.2, b 0.75), plus a quarter for each word of a phrase that is there; best first, then by key.
+
+    Document counts and lengths are of the whole table; documents without words count in neither.
+    """
+    terms, phrases = parse(query)
+    sized = docs.select(key, tokens(text).alias("words")).where(F.size("words") > 0)
+    has = [F.sum(F.array_contains("words", t).cast("int")).alias(f"df{i}") for i, t in enumerate(terms)]
+    corpus = sized.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("total"), *has)  # one row
+    hits = matching(docs, key, text, query, mode, exclude).crossJoin(F.broadcast(corpus))
+    mean = F.greatest(F.lit(1.0), F.col("total") / F.col("n"))
+    size, out = F.size("words"), F.lit(0.0)
+    for i, t in enumerate(terms):
+        tf = F.size(F.filter("words", lambda x: x == t)).cast("double")  # noqa: B023
+        idf = F.log1p((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        out = out + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+    for p in phrases:
+        out = out + F.when(_has_phrase(F.col("words"), p), F.lit(PHRASE_BONUS * len(p))).otherwise(0.0)
+    ranked = hits.select(key, F.round(out, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), key)
+    return ranked.limit(k) if k else ranked
