@@ -40,10 +40,8 @@ def parse(query: str) -> tuple[list[str], list[list[str]]]:
 
 
 def _has_phrase(words: Column, phrase: list[str]) -> Column:
-    n = len(phrase)
-    want = F.array(*map(F.lit, phrase))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-    return F.array_contains(words, phrase[0]) & F.exists(starts, lambda i: F.slice(words, i, n) == want)
+    """Whether the words follow each other somewhere; tokens hold no space, so joined texts can be searched."""
+    return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f" {' '.join(phrase)} "))
 
 
 def matching(docs: DataFrame, key: str, text: str, query: str, mode: str = "all", exclude: str = "") -> DataFrame:
