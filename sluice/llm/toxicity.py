@@ -1,6 +1,6 @@
 """A toxicity classifier: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Training documents are dealt over a fixed number of shards. Each shard runs FTRL-proximal with its own
+Training documents are dealt over a few shards of about ten thousand. Each shard runs FTRL-proximal with its own
 per-coordinate rates and L1, and the shards' weights are averaged; L1 leaves few of them, so what is
 broadcast is at most one weight a hash bucket and in practice a few thousand.
 """
@@ -18,8 +18,8 @@ from sluice.llm.common import PLAIN, U64, Words, cut, fold, gram_starts, mapped,
 from sluice.llm.labelled import labels_sample
 
 BITS = 20
-#: Labelled documents to learn from, at most (by a hash of their ids), and the shards they are dealt over.
-LEARN_DOCS, SHARDS, EPOCHS = 30_000, 6, 3
+#: Labelled documents to learn from, at most (by a hash of their ids), and how many a shard has, about; a shard sees its documents a few times, a small one more often.
+LEARN_DOCS, SHARD_DOCS = 30_000, 10_000
 _SALTS = (0x9AE16A3B2F90404F, 0xC949D7C7509E6557, 0xFF51AFD7ED558CCD)
 
 
@@ -41,7 +41,7 @@ def unique_features(w: Words, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
     return np.searchsorted(key >> bits, np.arange(len(w.first))), (key & ((1 << bits) - 1)).astype(np.int32)
 
 
-def ftrl(docs: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, bits: int = BITS, alpha: float = 0.15, beta: float = 1.0, l1: float = 1.5, l2: float = 0.05) -> np.ndarray:
+def ftrl(docs: list[np.ndarray], y: np.ndarray, epochs: int = 3, bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.02) -> np.ndarray:
     """Weights of the buckets and, last, of the bias; each document's features are its distinct buckets, at 1."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     at_l1 = np.full(len(z), l1)
@@ -65,9 +65,11 @@ def ftrl(docs: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, bits: int
 def fit(docs: DataFrame, sample: DataFrame) -> np.ndarray | None:
     """Averaged weights from the documents that ``sample`` (doc_id, y) labels; None if there are none."""
     out = pa.schema([("shard", pa.int32()), ("order", pa.int64()), ("y", pa.float64()), ("ids", pa.binary())])
-    rows = docs.select("doc_id", "text").join(maybe_broadcast(sample, sample.count(), 4 * LEARN_DOCS), "doc_id")
+    n = sample.count()
+    shards = max(1, min(n, LEARN_DOCS) // SHARD_DOCS)
+    rows = docs.select("doc_id", "text").join(maybe_broadcast(sample, n, 4 * LEARN_DOCS), "doc_id")
     order = F.xxhash64(F.lit("order"), F.col("doc_id"))
-    rows = rows.select("text", "y", order.alias("order"), F.pmod(order, F.lit(SHARDS)).cast("int").alias("shard"))
+    rows = rows.select("text", "y", order.alias("order"), F.pmod(order, F.lit(shards)).cast("int").alias("shard"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,12 +81,12 @@ def fit(docs: DataFrame, sample: DataFrame) -> np.ndarray | None:
 
     def train(t: pa.Table) -> pa.Table:
         t = t.sort_by("order")
-        w = ftrl([np.frombuffer(b, np.int32) for b in t["ids"].to_pylist()], t["y"].to_numpy())
+        w = ftrl([np.frombuffer(b, np.int32) for b in t["ids"].to_pylist()], t["y"].to_numpy(), max(3, min(20, 10_000 // t.num_rows)), l1=min(3.0, max(0.7, t.num_rows / 1800)))  # fewer documents repeat a word less often
         i = np.flatnonzero(w)
         return pa.table([pa.array(i, pa.int32()), pa.array(w[i])], schema=learnt)
 
     got = rows.mapInArrow(found, "shard int, order bigint, y double, ids binary")
-    w = got.groupBy("shard").applyInArrow(train, "i int, w double").groupBy("i").agg((F.sum("w") / SHARDS).alias("w")).toPandas()  # a row a bucket at most
+    w = got.groupBy("shard").applyInArrow(train, "i int, w double").groupBy("i").agg((F.sum("w") / shards).alias("w")).toPandas()  # a row a bucket at most
     if not len(w):
         return None
     dense = np.zeros((1 << BITS) + 1)
