@@ -131,7 +131,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: in
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked_ = linked(classes.select("fp"), radius)
     labelled = classes.join(linked_, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    least = labelled.groupBy("c").agg(F.min("least").alias("component_id"))
+    least = cut(labelled.groupBy("c").agg(F.min("least").alias("component_id")))  # cut, so that a large group's join can be split
     by_fp = cut(labelled.select("fp", "c").join(least, "c").select("fp", "component_id"))
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
