@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -36,8 +37,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of earlier phases, which otherwise stay until the driver's JVM happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # once for Python's handles, once for what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def fold(col: str | Column, n: int) -> Column:
