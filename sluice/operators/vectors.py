@@ -63,12 +63,27 @@ def exact(df: DataFrame, query: list[float], k: int, metric: str = "euclidean",
     return rows.select(key, score(col, query, metric).alias("score")).orderBy("score", key).limit(k)
 
 
-def exact_many(df: DataFrame, queries: list[tuple[int, list[float]]], k: int, metric: str = "euclidean", key: str = "vec_id", col: str = "embedding") -> DataFrame:
-    """(query_id, key, score, rank) for a stated list of queries: one pass over the rows, with the k best of each task kept before the shuffle."""
-    q = F.array(*[F.struct(F.lit(i).cast("bigint").alias("query_id"), vector(v).alias("q")) for i, v in queries])
-    rows = df.select(key, col, F.explode(q).alias("x")).select(F.col("x.query_id").alias("query_id"), key, score(col, F.col("x.q"), metric).alias("score"))
+def exact_many(df: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", key: str = "vec_id", col: str = "embedding", block: int = 256) -> DataFrame:
+    """(query_id, key, score, rank) of the k nearest rows of each query (same columns as ``df``).
+
+    Queries go in blocks of a fixed size, each one pass over the rows; the k best of a task are kept before the shuffle.
+    """
     best = Window.partitionBy("query_id").orderBy("score", key)
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    def search(some: list) -> DataFrame:
+        q = F.array(*[F.struct(F.lit(r[0]).cast("bigint").alias("query_id"), vector(list(r[1])).alias("q")) for r in some])
+        rows = df.select(key, col, F.explode(q).alias("x")).select(F.col("x.query_id").alias("query_id"), key, score(col, F.col("x.q"), metric).alias("score"))
+        return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    out, some = None, []
+    for r in queries.select(key, col).toLocalIterator():
+        some.append(r)
+        if len(some) == block:
+            out, some = search(some) if out is None else out.unionByName(search(some)), []
+    if some or out is None:
+        last = search(some) if some else search([(0, [0.0])]).limit(0)
+        out = last if out is None else out.unionByName(last)
+    return out
 
 
 @dataclass

@@ -15,12 +15,12 @@ _DOC = "concat('{\"a\":{\"b\":[', event_id, ',', event_id + 1, '],\"n\":null},\"
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a nested document made of their columns."""
-    e = table(spark, sf_dir, "events").where("event_id < 1500")
+    e = table(spark, sf_dir, "events")
     return e.withColumn("doc", F.concat(F.lit('{"a":{"b":['), F.col("event_id").cast("string"), F.lit(","), (F.col("event_id") + 1).cast("string"), F.lit('],"n":null},"t":"'), "event_type", F.lit('","k":'), J.text("props", "k"), F.lit("}")))
 
 
 def _json(name: str, oracle: str | None, make, where: bool = False) -> None:
-    body = f"(SELECT event_id, {_DOC} AS doc, props FROM events WHERE event_id < 1500) t"
+    body = f"(SELECT event_id, {_DOC} AS doc, props FROM events) t"
     sql = oracle and (f"SELECT event_id FROM {body} WHERE {oracle}" if where else f"SELECT event_id, {oracle} AS v FROM {body}")
 
     @op(name, sql)

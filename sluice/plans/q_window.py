@@ -9,7 +9,7 @@ from sluice.operators import windows
 from sluice.plans.registry import op, sql_op
 from sluice.sources.tables import table
 
-_O = "FROM orders WHERE o_custkey < 400"
+_O = "FROM orders"
 _W = "PARTITION BY o_custkey ORDER BY o_orderkey"
 
 
@@ -54,11 +54,11 @@ sql_op("win_22_before_order_by", f"SELECT o_orderkey, CAST(row_number() OVER (OR
 
 @op("win_13_lag_ignore_nulls", f"SELECT o_orderkey, lag(nullif(o_orderstatus, 'F'), 1 IGNORE NULLS) OVER ({_W}) AS v {_O}")
 def lag_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_custkey < 400").withColumn("x", F.expr("nullif(o_orderstatus, 'F')"))
+    o = table(spark, sf_dir, "orders").withColumn("x", F.expr("nullif(o_orderstatus, 'F')"))
     return o.select("o_orderkey", windows.offset_ignoring_nulls("lag", "x", 1, ["o_custkey"], ["o_orderkey"]).alias("v"))
 
 
 @op("win_17_groups", f"SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n {_O}")
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_custkey < 400").withColumn("p", F.col("o_custkey") % 20)
+    o = table(spark, sf_dir, "orders").withColumn("p", F.col("o_custkey") % 20)
     return windows.groups_frame(o, ["p"], ["o_orderpriority"], -1, 0, n=(F.count, F.lit(1))).select("o_orderkey", "n")
