@@ -25,7 +25,7 @@ sql_op("flt_07_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN
 sql_op("flt_08_exists", "SELECT count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey = 3) AND NOT EXISTS (SELECT 1 FROM region WHERE r_regionkey = 99)")
 sql_op("flt_09_correlated_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 sql_op("flt_11_like_prefix", "SELECT c_name FROM customer WHERE c_name LIKE 'Customer#00000001%'")
-sql_op("flt_12_like", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%A_ %' OR p_name LIKE '%e%n'")
+sql_op("flt_12_like", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%O_Y' OR p_name LIKE '%e_ %g%'")
 sql_op("flt_13_truthy", "SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice > 250000 AS flag FROM orders) WHERE flag")
 sql_op("flt_14_scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT max(c_acctbal) * 40 FROM customer)")
 sql_op("flt_15_correlated_scalar", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS last FROM customer")

@@ -30,7 +30,7 @@ _fn("mth_02_round_even", "lineitem", "l_orderkey", "TRUE", "round_even(l_quantit
 _fn("mth_03_ceiling", "supplier", "s_suppkey", "TRUE", "CAST(ceil(s_acctbal / 7) AS DOUBLE)", lambda: S.ceiling(F.col("s_acctbal") / 7))
 _fn("mth_04_floor", "supplier", "s_suppkey", "TRUE", "CAST(floor(s_acctbal / 7) AS DOUBLE)", lambda: S.floor(F.col("s_acctbal") / 7))
 _fn("mth_05_power", "part", "p_partkey", "TRUE", "power(p_size, 2)", lambda: F.pow("p_size", F.lit(2)))
-_fn("mth_06_remainder", "supplier", "s_suppkey", "TRUE", "round((s_acctbal - 4000) % 3.5::DOUBLE, 6)", lambda: F.round((F.col("s_acctbal") - 4000) % F.lit(3.5), 6))
+_fn("mth_06_remainder", "supplier", "s_suppkey", "TRUE", "round((s_acctbal - 4000) % 3.5::DOUBLE, 6) + 0.0::DOUBLE", lambda: F.round((F.col("s_acctbal") - 4000) % F.lit(3.5), 6) + F.lit(0.0))
 _fn("cnd_01_coalesce", "orders", "o_orderkey", "TRUE", "coalesce(nullif(o_orderstatus, 'F'), nullif(o_orderpriority, '5-LOW'), 'none')", lambda: F.expr("coalesce(nullif(o_orderstatus, 'F'), nullif(o_orderpriority, '5-LOW'), 'none')"))
 _fn("cnd_02_nullif", "orders", "o_orderkey", "TRUE", "nullif(o_orderstatus, 'O')", lambda: F.nullif("o_orderstatus", F.lit("O")))
 _fn("cnd_03_iif", "orders", "o_orderkey", "TRUE", "CASE WHEN nullif(o_orderstatus, 'F') = 'O' THEN 'open' ELSE 'other' END", lambda: S.iif(F.expr("nullif(o_orderstatus, 'F')") == "O", "open_", "x") if False else S.iif(F.expr("nullif(o_orderstatus, 'F')") == "O", F.lit("open"), F.lit("other")))

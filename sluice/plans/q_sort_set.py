@@ -39,7 +39,7 @@ def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorting.global_row_number(table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"], "r").select("o_orderkey", "r")
 
 
-_A, _B = "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 0", "SELECT s_nationkey FROM supplier WHERE s_acctbal > 0"
+_A, _B = "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 0", "SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000"
 sql_op("set_01_union_all", f"{_A} UNION ALL {_B}")
 sql_op("set_02_union", f"{_A} UNION {_B}")
 sql_op("set_03_except", f"{_A} EXCEPT {_B}")
