@@ -95,3 +95,22 @@ def test_exact_windows_are_covered(spark, frame, prose):
             g = tuple(w[i : i + 50])
             if first.setdefault(g, d) != d:
                 assert len(set(range(i, i + 50)) - spans.get(d, set())) <= 2, (d, i)
+
+
+def test_exact_repeats_with_common_lines_inside(spark, frame, prose):
+    """The first document that holds a repeat is found whatever its seeds point to, in one batch or several."""
+    parts = [prose(300 + i, 80).split() for i in range(12)]
+    rows = []
+    for i, p in enumerate(parts):
+        rows.append((10 * i, prose(400 + i, 30) + " " + " ".join(p) + " " + prose(500 + i, 30), "a"))
+        rows += [(10 * i + j, prose(600 + 10 * i + j, 25) + " " + " ".join(p[20:60]) + " " + prose(800 + 10 * i + j, 25), "a") for j in (-3, -2, 1, 2, 3)]
+        rows += [(1000 + i, prose(1000 + i, 20) + " " + " ".join(p), "b")]
+    for batch in (3, 10_000):
+        old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = passages.repeated_passages(frame(rows)).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+        for i in range(12):
+            assert any(r.doc_id == 1000 + i and r.source_id == 10 * i and r.start <= 20 and r.stop >= 100 for r in got), (batch, i)
