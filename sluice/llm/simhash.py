@@ -9,6 +9,10 @@ Only distinct fingerprints are hashed. A bucket is never expanded into its pairs
 linked to three pivots of the bucket, components are taken, and only members outside their bucket's
 largest component are compared with the bucket's other components. A pair within the radius lies either
 in one component or in such a comparison, so no link between groups is lost.
+
+Fingerprints within a radius say little about pairs of a shingle similarity of 0.8: most differ in more bits.
+Where one document of a group is kept, groups are links of exact Jaccard similarity: candidates come from the
+fingerprints and from bands of least hashes, and each pair is compared by its sets of shingles.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut, gram_starts, mapped, pieces, record, utf8, words
+from sluice.llm.common import U64, cut, gram_starts, grams, mapped, mix, pieces, record, utf8, words
 from sluice.llm.graph import components
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -140,12 +144,110 @@ def hex16(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 5) -> DataFrame:
+#: Least hashes of a band and bands of a document: a pair of similarity 0.8 shares one at 0.9996, of 0.9 at 1 - 1e-8.
+BAND, BANDS = 5, 20
+#: Members of a band's bucket that are all compared with each other; those of a larger one meet three of its members.
+ALL_PAIRS = 12
+_SETS = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+
+def shingles(arr: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of the texts, and where each text's begin; fewer words than a shingle make one shingle."""
+    w = words(arr, lower=True)
+    h, counts = w.hashes(), w.counts
+    at = gram_starts(w.first, shingle) if len(h) else np.zeros(0, np.int64)
+    doc, g = w.doc()[at], grams(h, shingle)[at]
+    for c in range(1, shingle):
+        short = np.flatnonzero(counts == c)
+        if len(short):
+            doc, g = np.concatenate([doc, short]), np.concatenate([g, grams(h, c)[w.first[short]] ^ U64(c)])
+    order = np.argsort(doc, kind="stable")
+    return g[order], np.searchsorted(doc[order], np.arange(len(counts) + 1))
+
+
+def _set_ids(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each text's shingles with their counts; 0 for none."""
+    c = np.zeros(len(g) + 1, U64)
+    np.cumsum(mix(g + U64(0x9E3779B97F4A7C15)), out=c[1:])
+    return mix(c[first[1:]] - c[first[:-1]]).view(np.int64)
+
+
+def _bands(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashes of BAND least hashes, BANDS of them for each run g[first[i]:first[i+1]] (none empty)."""
+    draw = mix(np.arange(1, 2 * BAND * BANDS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)).reshape(2, BANDS, BAND)
+    out = np.zeros((len(first) - 1, BANDS), U64)
+    for t in range(BANDS):
+        for j in range(BAND):
+            low = np.minimum.reduceat((g ^ draw[0, t, j]) * (draw[1, t, j] | U64(1)), first[:-1])
+            out[:, t] = mix(out[:, t] * U64(0xC2B2AE3D27D4EB4F) + low)
+    return out.view(np.int64)
+
+
+def similar(docs: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """(doc_id, component_id) of the rows with an id: components of pairs whose sets of shingles have the Jaccard similarity.
+
+    Candidates: members of a fingerprint group with its first document, and documents with a common band.
+    """
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in pieces(b, "text"):
+                g, first = shingles(p.column(1), shingle)
+                some = np.flatnonzero(np.diff(first))
+                off = np.zeros(p.num_rows + 1, np.int32)
+                off[some + 1] = BANDS
+                keys = _bands(g, np.append(first[some], len(g))).ravel() if len(some) else np.zeros(0, np.int64)
+                yield record(_SETS, p.column(0), _set_ids(g, first), pa.ListArray.from_arrays(pa.array(np.cumsum(off, dtype=np.int32)), pa.array(keys)))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in pieces(b, "text"):
+                g, first = shingles(p.column(1), shingle)
+                same = np.flatnonzero(_set_ids(g, first) == p.column(0).to_numpy())  # an id may repeat with other texts
+                of = [np.unique(g[first[i] : first[i + 1]]).view(np.int64) for i in same.tolist()]
+                yield pa.RecordBatch.from_arrays([p.column(0).take(pa.array(same)), pa.array(of, pa.list_(pa.int64()))], ["sid", "s"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column(2), b.column(3)
+            on = []
+            for i in range(b.num_rows):
+                u, v = x[i].values.to_numpy(), y[i].values.to_numpy()
+                both = len(np.intersect1d(u, v, assume_unique=True)) if min(len(u), len(v)) >= similarity * max(len(u), len(v)) else 0
+                on.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
+            yield b.select([0, 1]).filter(pa.array(on, pa.bool_()))
+
+    rows = cut(mapped(docs, ["doc_id", "text"], signed, "doc_id bigint, sid bigint, keys array<bigint>"))
+    classes = cut(rows.groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
+    banded = classes.select("sid", F.posexplode("keys").alias("t", "key")).select("sid", F.xxhash64("t", "key").alias("k"))
+    buckets = banded.groupBy("k").agg(F.count("*").alias("n"), F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.min_by("sid", F.xxhash64("sid", "k")).alias("mid")).where("n > 1")
+    shared = cut(banded.join(buckets, "k"))
+    few = shared.where(F.col("n") <= ALL_PAIRS).select("k", "sid")
+    pairs = few.withColumnRenamed("sid", "a").join(few.withColumnRenamed("sid", "b"), "k").where("a < b").select("a", "b")
+    for p in ("lo", "hi", "mid"):
+        pairs = pairs.union(shared.where(F.col("n") > ALL_PAIRS).select(F.col("sid").alias("a"), F.col(p).alias("b")))
+    grouped = near_duplicates(docs, shingle, radius).where("doc_id != component_id").select("doc_id", "component_id")
+    own = rows.select("doc_id", "sid").distinct()
+    grouped = grouped.join(own.withColumnRenamed("sid", "a"), "doc_id").join(own.select(F.col("doc_id").alias("component_id"), F.col("sid").alias("b")), "component_id")
+    pairs = pairs.union(grouped.select("a", "b")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut(pairs.distinct())
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(classes.select("sid", "least"), "sid")
+    texts = docs.join(wanted.withColumnRenamed("least", "doc_id"), "doc_id").select("sid", "text")
+    have = cut(mapped(texts, ["sid", "text"], sets, "sid bigint, s array<bigint>").dropDuplicates(["sid"]))
+    near = pairs.join(have.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
+    near = near.select("a", "b", "sa", "sb").mapInArrow(compared, "a bigint, b bigint")
+    labelled = classes.join(components(near), F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("component", "sid").alias("c"))
+    least = cut(labelled.groupBy("c").agg(F.min("least").alias("component_id")))  # cut, so that a large group's join can be split
+    return rows.select("doc_id", "sid").join(cut(labelled.select("sid", "c").join(least, "c").select("sid", "component_id")), "sid").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, one of each near-duplicate group: the one with the least doc_id, its first row if that repeats.
 
-    Documents whose group has no known id stay.
+    A group is linked by pairs whose shingles have the Jaccard similarity. Rows without an id stay and link nothing.
     """
-    groups = near_duplicates(docs, shingle, radius)
+    groups = cut(similar(docs, shingle, radius, similarity))
     drop = groups.where("doc_id != component_id").select("doc_id").distinct()
     kept = docs.join(drop, "doc_id", "left_anti")
     repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")

@@ -114,3 +114,26 @@ def test_exact_repeats_with_common_lines_inside(spark, frame, prose):
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
         for i in range(12):
             assert any(r.doc_id == 1000 + i and r.source_id == 10 * i and r.start <= 20 and r.stop >= 100 for r in got), (batch, i)
+
+
+def test_one_is_kept_of_each_group_of_similar_shingles(spark, frame, prose):
+    """Rows are those of brute force at a shingle similarity of 0.8, with copies from 0.7 to 0.97 of each text."""
+    r = random.Random(11)
+    texts = [prose(5000 + i, 200).split() for i in range(30)]
+    rows = []
+    for t in texts:
+        for edits in (0, 1, 2, 3, 4, 5, 6, 8):
+            w = list(t)
+            for i in r.sample(range(len(w)), edits):
+                w[i] = f"new{r.randrange(10**9)}"
+            rows.append((len(rows), " ".join(w), "a"))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t, _ in rows)]
+    par = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = par[i], par[j]
+                par = [min(a, b) if p in (a, b) else p for p in par]
+    want = {i for i in range(len(rows)) if par[i] == i}
+    assert len(want) < len(rows)
+    assert {x.doc_id for x in simhash.keep_one(frame(rows)).collect()} == want
