@@ -11,6 +11,7 @@ them), and queries that are equal are searched once. Both are exact, and a hot v
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ from sluice.llm.common import cut
 
 #: Distinct vectors that centroids are learnt from, at most (by a hash of the vector), and centroids, at most.
 SAMPLE, MOST_LISTS = 24_000, 2048
+#: Share of the lists that a query may read, and the fewest; a fixed number would lose recall as the lists grow.
+SHARE, BEAM = 0.22, 96
 #: Distinct vectors a list should have, and parts of a longer list.
 LIST, PART = 96, 4096
 DEGREE, ENTRIES = 24, 32
@@ -110,7 +113,7 @@ def _rows(a: pa.ChunkedArray, dim: int) -> np.ndarray:
     return a.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, beam: int = 96, ratio: float = 1.5, copies: int = 4, spread: float = 1.1, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, beam: int | None = None, ratio: float = 1.5, copies: int = 4, spread: float = 1.1, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, by Euclidean distance in double precision.
 
     Needs vec_id and embedding; other columns are ignored. Queries are the rows where ``is_query`` holds;
@@ -118,7 +121,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, beam: int = 96, r
     vectors that are null, zero, not of the commonest size, or hold a null or non-finite component. Where an
     id repeats with other vectors, it is near by its nearest one. Ties go to the smaller vec_id. Fewer
     candidates than k are all returned; an empty table gives no rows. ``ratio`` and ``spread`` compare
-    distances with that to the nearest centroid, for the lists a query reads and a vector is put in.
+    distances with that to the nearest centroid, for the lists a query reads and a vector is put in. ``beam`` is
+    the most lists that a query reads; by default a share of all.
     """
     spark = vectors.sparkSession
     good = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(usable("v") & F.col("vec_id").isNotNull())
@@ -134,6 +138,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, beam: int = 96, r
     part = classes if n <= sample else classes.where(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * sample / n))
     learn = _rows(part.select("v").toArrow()["v"], dim)  # about ``sample`` rows
     lists = max(1, min(MOST_LISTS, n // LIST, len(learn) // 8))
+    beam = beam or max(BEAM, math.ceil(SHARE * lists))
     graph = Graph.build(centroids(learn, lists))
     del learn
 

@@ -25,6 +25,18 @@ def test_recall_and_exact_scores(spark):
     assert hit / 380 >= 0.9
 
 
+def test_lists_read_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 8)  # 1,000 lists
+    r = np.random.default_rng(3)
+    x = r.normal(size=(8000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    hit, cut_off = 0, {q: brute(np.arange(8000), x.astype(float), q, 10)[-1][1] for q in range(0, 8000, 100)}
+    for row in ann.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        hit += row.score <= cut_off[row.query_id] + 1e-12
+    assert hit / 800 >= 0.9, hit / 800
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], "a"), (100, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "a"), (3, None, "a"), (4, [0.0, 0.0], "a"), (5, [nan, 1.0], "a"), (6, [inf, 1.0], "a"), (7, [None, 1.0], "a"),
