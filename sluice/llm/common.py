@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import re
 import tempfile
-import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,28 +20,61 @@ PASS_BYTES = 4 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (tests), one of our own."""
+    """The cluster's shared folder; only where none is set and all runs on one machine (tests), one of our own."""
     sc = spark.sparkContext
     if d := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(d)
         return d
+    if not re.match(r"local($|\[)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(d := tempfile.mkdtemp(prefix="sluice-"))
     return d
 
 
+#: Spark's own setting by which a query's shuffle files go as the query ends, not when the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and end within leave no shuffle files."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: written once to the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with cleaned(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables between the phases of one operator, in a folder of its own in the shared one; each goes when no phase needs it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.at = f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        with cleaned(self.spark):
+            df.select("*").write.parquet(f"{self.at}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of earlier phases, which otherwise stay until the driver's JVM happens to collect its garbage."""
-    for _ in range(2):  # once for Python's handles, once for what they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    def drop(self, *names: str) -> None:
+        """These tables, or the whole folder."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for n in names or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{n}" if n else self.at)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def fold(col: str | Column, n: int) -> Column:

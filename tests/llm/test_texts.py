@@ -101,46 +101,69 @@ def test_units_encode_as_the_tokenizer_does():
     assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
-def brute_katz(docs, held):
+def brute_katz(docs, held, order=3):
+    """Scores by the definition, and a function that gives p(word | context)."""
     toks = {d: (t or "").encode().lower().split() + [None] for d, t in docs}
-    u, b = Counter(), Counter()
+    counts, after = [Counter() for _ in range(order + 1)], {}
     for d, w in toks.items():
         if not held(d):
-            u.update(w)
-            b.update(zip([0, *w[:-1]], w))
-    n, v = sum(u.values()), len(u)
-    p = lambda w: (u[w] + 0.5) / (n + 0.5 * (v + 1))
-    d_ = katz.discounts(np.array([sum(x == r for x in b.values()) for r in range(1, 7)], float))
-    ctx = {}
-    for (a, w), c in b.items():
-        ctx.setdefault(a, []).append((w, c))
-
-    def prob(a, w):
-        if a not in ctx:
-            return p(w)
-        s = sum(c for _, c in ctx[a])
-        left = s - sum(d_[min(c, 6)] * c for _, c in ctx[a])
+            for n in range(1, order + 1):
+                s = [0] * (n - 1) + w
+                counts[n].update(tuple(s[i : i + n]) for i in range(len(w)))
+    for n in range(2, order + 1):
+        for g, c in counts[n].items():
+            after.setdefault(g[:-1], []).append((g[-1], c))
+    u = counts[1]
+    n_, v = sum(u.values()), len(u)
+    d_ = {n: katz.discounts(np.array([sum(x == r for x in counts[n].values()) for r in range(1, 7)], float)) for n in range(2, order + 1)}
+
+    def prob(h, w):
+        if not h:
+            return (u[(w,)] + 0.5) / (n_ + 0.5 * (v + 1))
+        if h not in after:
+            return prob(h[1:], w)
+        d, s = d_[len(h) + 1], sum(c for _, c in after[h])
+        left = s - sum(d[min(c, 6)] * c for _, c in after[h])
         if left < 1e-9:
             left, s = left + 1, s + 1
-        c = b[(a, w)]
-        return d_[min(c, 6)] * c / s if c else left / s / (1 - sum(p(x) for x, _ in ctx[a])) * p(w)
+        c = counts[len(h) + 1][(*h, w)]
+        return d[min(c, 6)] * c / s if c else left / s / (1 - sum(prob(h[1:], x) for x, _ in after[h])) * prob(h[1:], w)
 
-    for a in list(ctx)[:20]:  # each context sums to 1 over the known tokens and one unknown
-        assert abs(sum(prob(a, w) for w in u) + prob(a, b"\0unknown") - 1) < 1e-9
+    for h in list(after)[:20] + list(after)[-20:]:  # each context sums to 1 over the known tokens and one unknown
+        assert abs(sum(prob(h, w) for (w,) in u) + prob(h, b"\0unknown") - 1) < 1e-9
     out = {}
     for d, w in toks.items():
-        out[d] = (held(d), len(w), sum(u[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), sum(math.log10(prob(a, x)) for a, x in zip([0, *w[:-1]], w)))
+        s = [0] * (order - 1) + w
+        lp = sum(math.log10(prob(tuple(s[i : i + order - 1]), x)) for i, x in enumerate(w))
+        out[d] = (held(d), len(w), sum(u[(x,)] > 0 for x in w), n_, sum(math.log10(prob((), x)) for x in w), lp)
     return out
 
 
-@pytest.mark.parametrize("size", [40, 2_000_000])
-def test_katz_scores_are_those_of_brute_force(spark, frame, prose, size):
-    docs = [(i, prose(i % 9, 20 + i) if i % 4 else prose(1, 15), "a") for i in range(40)] + [(40, None, None), (41, "", "b"), (42, "A a\nb", "b")]
-    want = brute_katz([(d, t) for d, t, _ in docs], lambda d: zlib.crc32(str(d).encode()) % 5 == 1)
-    for r in katz.score_documents(frame(docs).repartition(3), katz.held_out(), size).collect():
+KATZ_DOCS = lambda prose: [(i, prose(i % 9, 20 + i) if i % 4 else prose(1, 15), "a") for i in range(40)] + [(40, None, None), (41, "", "b"), (42, "A a\nb", "b")]
+
+
+@pytest.mark.parametrize(("size", "order"), [(40, 3), (2_000_000, 3), (150, 2), (100, 4), (100, 1)])
+def test_katz_scores_are_those_of_brute_force(spark, frame, prose, size, order):
+    docs = KATZ_DOCS(prose)
+    want = brute_katz([(d, t) for d, t, _ in docs], lambda d: zlib.crc32(str(d).encode()) % 5 == 1, order)
+    rows = katz.score_documents(frame(docs).repartition(3), katz.held_out(), size, order).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
         assert tuple(r)[1:5] == want[r.doc_id][:4] and np.allclose(tuple(r)[5:], want[r.doc_id][4:], rtol=1e-9)
 
 
+def test_katz_tables_score_other_texts(spark, frame, prose, tmp_path):
+    docs = KATZ_DOCS(prose)
+    seen, new = docs[:25], [(d, t, s) for d, t, s in docs[20:]]
+    at = f"{tmp_path}/model"
+    katz.score_documents(frame(seen).repartition(2), F.lit(False), 60, save=at).count()
+    want = brute_katz([(d, t) for d, t, _ in seen] + [(1000 + d, t) for d, t, _ in new], lambda d: d >= 1000)
+    rows = katz.score_with(frame(new), at, 90).collect()
+    assert len(rows) == len(new)
+    for r in rows:
+        assert tuple(r)[1:5] == want[1000 + r.doc_id][:4] and np.allclose(tuple(r)[5:], want[1000 + r.doc_id][4:], rtol=1e-9)
+
+
 def test_katz_of_odd_rows(spark, frame, odd):
     rows = katz.score_documents(frame(odd), katz.held_out()).collect()
     assert len(rows) == len(odd) and all(math.isfinite(r.score) for r in rows)
