@@ -3,15 +3,15 @@
 Tokens are words of the lower-cased text and one end. Counts of each order are gathered over all training
 documents, in tables that are partitioned by context; no table is ever whole on one machine.
 
-Documents are turned into chunks once: rows that hold some two million tokens as codes into a vocabulary
-of their own. What a chunk needs to know of the corpus it asks of the tables, order by order, one packed
+Documents are turned into chunks once: rows that hold some hundred thousand tokens as codes into a
+vocabulary of their own. What a chunk needs to know of the corpus it asks of the tables, order by order, one packed
 message for each part of a table that it asks something; the parts add up what the chunks have counted and
 answer in the order asked. So an n-gram that a chunk has a thousand times is sent once, and messages never
 outnumber the distinct n-grams of the chunks: what is exchanged grows with the corpus, not with chunks x parts.
 
 1. Tokens, by their hash: answered by a number for each token and its count in the corpus.
 2. n-grams of each order n from 2, by context (n-1 numbers), so that a context is whole in a part; a context of
-   over a quarter of a part's tokens is dealt by its next token, too. Answered by counts, each context's total,
+   as many tokens as a part has on average is dealt by its next token, too. Answered by counts, each context's total,
    and, where a chunk has asked for something that isn't in the corpus, the sums that backoff weights are made of.
 3. A chunk's state after each order is written out and its predecessor dropped. The last gives the sums by document.
 
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import U64, Scratch, cut, fold, mapped, mix, pieces, words
 
-CHUNK_TOKENS = 2_000_000
+#: Tokens of a chunk, and of a part of a table, about.
+CHUNK_TOKENS, PART_TOKENS = 600_000, 300_000
 #: Contexts that may be dealt by their next token, at most, as their sums are sent to every task (some 60 bytes each).
 MOST_HOT = 1 << 20
 K = 5  # counts up to which Good-Turing discounts
@@ -90,7 +91,7 @@ class Model:
 
     def hot(self, count: np.ndarray) -> np.ndarray:
         """Contexts that are dealt by their next token, too; the last one stands for the start of a document."""
-        hot = count.astype(float) >= max(self.part_tokens / 4, self.tokens / MOST_HOT, 1)
+        hot = count.astype(float) >= max(self.part_tokens, self.tokens / MOST_HOT)
         hot[-1] = True
         return hot
 
@@ -194,7 +195,7 @@ class Chunk:
         self.first = np.cumsum(self.sizes) - self.sizes
         self.train = np.repeat(self.held, self.sizes) == 0
         self.order = 1
-        self.of, self.n, self.ctx, self.last = {1: self.codes.astype(np.int64)}, {1: len(self.number)}, {}, {}
+        self.of, self.n, self.ctx, self.last = {1: self.codes.astype(np.int32)}, {1: len(self.number)}, {}, {}
         for _ in self.counts:
             self.extend()
 
@@ -204,9 +205,11 @@ class Chunk:
         before = np.empty(len(codes), np.int64)
         before[1:] = self.of[n - 1][:-1]
         before[self.first] = self.n[n - 1]
-        key, of = np.unique(before * self.n[1] + codes, return_inverse=True)
-        self.of[n], self.n[n], self.order = of, len(key), n
-        self.ctx[n], self.last[n] = key // self.n[1], key % self.n[1]
+        before *= self.n[1]
+        before += codes
+        key, of = np.unique(before, return_inverse=True)
+        self.of[n], self.n[n], self.order = of.astype(np.int32), len(key), n
+        self.ctx[n], self.last[n] = (key // self.n[1]).astype(np.int32), (key % self.n[1]).astype(np.int32)
 
     def blob(self, *more: np.ndarray) -> bytes:
         return pack(self.ids, self.null, self.held, self.sizes, self.number, self.codes, self.count, *(x for c in zip(self.counts, self.totals, self.alphas) for x in c), *more)
@@ -232,7 +235,7 @@ class Chunk:
 
     def lower(self, n: int) -> np.ndarray:
         """For each n-gram, the one without its first token."""
-        out = np.empty(self.n[n], np.int64)
+        out = np.empty(self.n[n], np.int32)
         out[self.of[n]] = self.of[n - 1]
         return out
 
@@ -515,19 +518,19 @@ def _score_chunks(m: Model):
     return run
 
 
-def score_documents(docs: DataFrame, held: Column, chunk_tokens: int = CHUNK_TOKENS, order: int = 3, save: str | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, held: Column, chunk_tokens: int = CHUNK_TOKENS, order: int = 3, save: str | None = None, part_tokens: int = PART_TOKENS) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
 
     Learns from the rows that ``held`` doesn't mark. Needs doc_id and text; other columns are ignored. A null
     text is an empty one: its end is its only token. A very long text is a chunk of its own, held whole by one
     task. Null and repeated ids are fine, each row is scored by itself; rows with a null id are learnt from. An
-    empty table gives no rows; where all is held out, train_tokens is 0. ``chunk_tokens`` bounds the memory of a
-    task (some 150 bytes a token). ``save``: a folder for the model's tables, for ``score_with``.
+    empty table gives no rows; where all is held out, train_tokens is 0. ``chunk_tokens`` and
+    ``part_tokens`` bound the memory of a task (some 300 bytes a token). ``save``: a folder for the model's tables, for ``score_with``.
     """
     tmp = Scratch(docs.sparkSession)
     c = tmp.keep("chunks", chunks(docs, held, chunk_tokens))
     size = c.agg(F.sum("n_tokens")).first()[0] or 0
-    m = Model(max(1, -(-size // chunk_tokens)), chunk_tokens)
+    m = Model(max(1, -(-size // part_tokens)), part_tokens)
     if save:
         docs.sparkSession.createDataFrame([(m.parts, m.part_tokens, order)], "parts int, part_tokens bigint, n int").write.parquet(f"{save}/shape")
     return _exchanged(c, m, order, tmp, save=save)

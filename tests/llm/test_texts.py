@@ -50,7 +50,7 @@ def test_packing_of_odd_rows(spark, frame, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    odd = [*odd, (9, "a<|endoftext|>b  <|endoftext|> \n<|endoftext|>", "a"), (10, "<|endoftext|>", "a"), (11, "無空白の文章" * 300, "a")]
     rows = packing.pack(frame(odd), 128).collect()
     ids = [np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for _, x, _ in odd]
     whole = Counter()
@@ -95,8 +95,7 @@ def test_units_encode_as_the_tokenizer_does():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = ["", "  a  b\n\n c\t\td ", "<|endoftext|> hi", "\x1c\x1d a\x85b　 c", "it's  don't\r\n x\xa0 \xa0y", "é 😀😀  ​ x"]
+    texts = ["", "  a  b\n\n c\t\td ", "<|endoftext|> hi", "a<|endoftext|>b", "x  <|endoftext|>  y\n\n<|endoftext|><|endoftext|>", "<|endof", "long" * 500 + " z", "\x1c\x1d a\x85b　 c", "it's  don't\r\n x\xa0 \xa0y", "é 😀😀  ​ x"]
     got = [np.frombuffer(b, "<u4").tolist() for b in packing.Encoder(path("byte_bpe_50k.json")).encode(texts)]
     assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
@@ -146,7 +145,7 @@ KATZ_DOCS = lambda prose: [(i, prose(i % 9, 20 + i) if i % 4 else prose(1, 15),
 def test_katz_scores_are_those_of_brute_force(spark, frame, prose, size, order):
     docs = KATZ_DOCS(prose)
     want = brute_katz([(d, t) for d, t, _ in docs], lambda d: zlib.crc32(str(d).encode()) % 5 == 1, order)
-    rows = katz.score_documents(frame(docs).repartition(3), katz.held_out(), size, order).collect()
+    rows = katz.score_documents(frame(docs).repartition(3), katz.held_out(), size, order, part_tokens=size // 4).collect()
     assert len(rows) == len(docs)
     for r in rows:
         assert tuple(r)[1:5] == want[r.doc_id][:4] and np.allclose(tuple(r)[5:], want[r.doc_id][4:], rtol=1e-9)
@@ -156,7 +155,7 @@ def test_katz_tables_score_other_texts(spark, frame, prose, tmp_path):
     docs = KATZ_DOCS(prose)
     seen, new = docs[:25], [(d, t, s) for d, t, s in docs[20:]]
     at = f"{tmp_path}/model"
-    katz.score_documents(frame(seen).repartition(2), F.lit(False), 60, save=at).count()
+    katz.score_documents(frame(seen).repartition(2), F.lit(False), 60, save=at, part_tokens=25).count()
     want = brute_katz([(d, t) for d, t, _ in seen] + [(1000 + d, t) for d, t, _ in new], lambda d: d >= 1000)
     rows = katz.score_with(frame(new), at, 90).collect()
     assert len(rows) == len(new)
