@@ -5,9 +5,9 @@ keeps the positions whose vector has an odd product with v. The vectors of r dif
 at most r dimensions, so some v is orthogonal to all of them: under its mask the two fingerprints agree.
 Each pair within the radius thus shares a bucket of some table, for certain.
 
-Only distinct fingerprints are hashed. A bucket is never expanded into its pairs: its members are first
-linked to three pivots of the bucket, components are taken, and only members outside their bucket's
-largest component are compared with the bucket's other components. A pair within the radius lies either
+Only distinct fingerprints are hashed. A bucket's members are first linked to three pivots of the bucket,
+components are taken, and only members outside their bucket's largest component are compared with the
+bucket's other components. A pair within the radius lies either
 in one component or in such a comparison, so no link between groups is lost.
 
 Fingerprints within a radius say little about pairs of a shingle similarity of 0.8: most differ in more bits.
@@ -146,9 +146,7 @@ def hex16(fp: str = "fp"):
 
 #: Least hashes of a band and bands of a document: a pair of similarity 0.8 shares one at 0.9996, of 0.9 at 1 - 1e-8.
 BAND, BANDS = 5, 20
-#: Members of a band's bucket that are all compared with each other; those of a larger one meet three of its members.
-ALL_PAIRS = 12
-_SETS = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("sid", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
 def shingles(arr: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,12 +181,24 @@ def _bands(g: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _pivots(members: DataFrame, group: str) -> DataFrame:
+    """(a, b): each member ``sid`` of a group with three of it, the same ones in whichever group they meet."""
+    few = members.groupBy(group).agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.min_by("sid", F.xxhash64("sid")).alias("mid")).where("lo != hi")
+    return members.join(few, group).select(F.col("sid").alias("a"), F.explode(F.array_distinct(F.array("lo", "hi", "mid"))).alias("b"))
+
+
+def _pairs(links: DataFrame) -> DataFrame:
+    return links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar(docs: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
-    """(doc_id, component_id) of the rows with an id: components of pairs whose sets of shingles have the Jaccard similarity.
+    """(doc_id, th, component): classes of the rows with an id (by it and xxhash64 of the text), linked by pairs whose sets of shingles have the Jaccard similarity.
 
-    Candidates: members of a fingerprint group with its first document, and documents with a common band.
+    Candidates are texts whose fingerprints link, and texts with a common band. Those of a group meet three of
+    it first; then, in a band's bucket that still has several classes, all outside the largest meet the members
+    of the others. So each pair with a common band is in one class or compared.
     """
-    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("th"))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,15 +208,14 @@ def similar(docs: DataFrame, shingle: int, radius: int, similarity: float) -> Da
                 off = np.zeros(p.num_rows + 1, np.int32)
                 off[some + 1] = BANDS
                 keys = _bands(g, np.append(first[some], len(g))).ravel() if len(some) else np.zeros(0, np.int64)
-                yield record(_SETS, p.column(0), _set_ids(g, first), pa.ListArray.from_arrays(pa.array(np.cumsum(off, dtype=np.int32)), pa.array(keys)))
+                yield record(_SETS, p.column(0), p.column(2), _set_ids(g, first), fingerprints(p.column(1), shingle, 42), pa.ListArray.from_arrays(pa.array(np.cumsum(off, dtype=np.int32)), pa.array(keys)))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in pieces(b, "text"):
                 g, first = shingles(p.column(1), shingle)
-                same = np.flatnonzero(_set_ids(g, first) == p.column(0).to_numpy())  # an id may repeat with other texts
-                of = [np.unique(g[first[i] : first[i + 1]]).view(np.int64) for i in same.tolist()]
-                yield pa.RecordBatch.from_arrays([p.column(0).take(pa.array(same)), pa.array(of, pa.list_(pa.int64()))], ["sid", "s"])
+                of = [np.unique(g[a:z]).view(np.int64) for a, z in zip(first[:-1], first[1:])]
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(of, pa.list_(pa.int64()))], ["sid", "s"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,40 +227,50 @@ def similar(docs: DataFrame, shingle: int, radius: int, similarity: float) -> Da
                 on.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
             yield b.select([0, 1]).filter(pa.array(on, pa.bool_()))
 
-    rows = cut(mapped(docs, ["doc_id", "text"], signed, "doc_id bigint, sid bigint, keys array<bigint>"))
-    classes = cut(rows.groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
+    rows = cut(mapped(docs, ["doc_id", "text", "th"], signed, "doc_id bigint, th bigint, sid bigint, fp bigint, keys array<bigint>"))
+    one = F.min(F.struct("doc_id", "th")).alias("least")
+    classes = cut(rows.groupBy("sid").agg(one, F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     banded = classes.select("sid", F.posexplode("keys").alias("t", "key")).select("sid", F.xxhash64("t", "key").alias("k"))
-    buckets = banded.groupBy("k").agg(F.count("*").alias("n"), F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.min_by("sid", F.xxhash64("sid", "k")).alias("mid")).where("n > 1")
-    shared = cut(banded.join(buckets, "k"))
-    few = shared.where(F.col("n") <= ALL_PAIRS).select("k", "sid")
-    pairs = few.withColumnRenamed("sid", "a").join(few.withColumnRenamed("sid", "b"), "k").where("a < b").select("a", "b")
-    for p in ("lo", "hi", "mid"):
-        pairs = pairs.union(shared.where(F.col("n") > ALL_PAIRS).select(F.col("sid").alias("a"), F.col(p).alias("b")))
-    grouped = near_duplicates(docs, shingle, radius).where("doc_id != component_id").select("doc_id", "component_id")
-    own = rows.select("doc_id", "sid").distinct()
-    grouped = grouped.join(own.withColumnRenamed("sid", "a"), "doc_id").join(own.select(F.col("doc_id").alias("component_id"), F.col("sid").alias("b")), "component_id")
-    pairs = pairs.union(grouped.select("a", "b")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(classes.select("sid", "least"), "sid")
-    texts = docs.join(wanted.withColumnRenamed("least", "doc_id"), "doc_id").select("sid", "text")
-    have = cut(mapped(texts, ["sid", "text"], sets, "sid bigint, s array<bigint>").dropDuplicates(["sid"]))
-    near = pairs.join(have.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
-    near = near.select("a", "b", "sa", "sb").mapInArrow(compared, "a bigint, b bigint")
-    labelled = classes.join(components(near), F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("component", "sid").alias("c"))
-    least = cut(labelled.groupBy("c").agg(F.min("least").alias("component_id")))  # cut, so that a large group's join can be split
-    return rows.select("doc_id", "sid").join(cut(labelled.select("sid", "c").join(least, "c").select("sid", "component_id")), "sid").select("doc_id", "component_id")
+    several = banded.groupBy("k").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo != hi").select("k")
+    shared = cut(banded.join(several, "k"))
+    near_fp = linked(classes.select("fp").distinct(), radius)
+    by_fp = classes.join(near_fp, F.col("fp") == F.col("node"), "left").select("sid", F.coalesce("component", "fp").alias("f"))
+    links = cut(_pairs(_pivots(shared, "k").union(_pivots(by_fp, "f"))))
+    wanted = links.select(F.col("a").alias("sid")).union(links.select("b")).union(shared.select("sid")).distinct()
+    wanted = wanted.join(classes.select("sid", "least.*"), "sid")
+    texts = docs.join(wanted, ["doc_id", "th"]).select("sid", "text").dropDuplicates(["sid"])
+    have = cut(mapped(texts, ["sid", "text"], sets, "sid bigint, s array<bigint>"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(have.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
+        return both.select("a", "b", "sa", "sb").mapInArrow(compared, "a bigint, b bigint")
+
+    linked_ = cut(near(links))
+    first = cut(components(linked_))
+    labelled = shared.join(first, F.col("sid") == F.col("node"), "left").select("k", "sid", F.coalesce("component", "sid").alias("c"))
+    mixed = labelled.groupBy("k", "c").agg(F.count("*").alias("n")).groupBy("k").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main")).where("parts > 1")
+    mixed = cut(labelled.join(mixed.select("k", "main"), "k"))
+    rest = mixed.where("c != main").select("k", F.col("sid").alias("a"), F.col("c").alias("ca"))
+    cross = _pairs(rest.join(mixed.select("k", F.col("sid").alias("b"), F.col("c").alias("cb")), "k").where("ca != cb").select("a", "b"))
+    cross = cut(near(cross.join(links, ["a", "b"], "left_anti")))
+    if not cross.isEmpty():
+        first = cut(components(linked_.union(cross)))
+    return rows.select("doc_id", "th", "sid").join(first, F.col("sid") == F.col("node"), "left").select("doc_id", "th", F.coalesce("component", "sid").alias("component"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents, one of each near-duplicate group: the one with the least doc_id, its first row if that repeats.
+    """The documents, one row of each near-duplicate group: the one with the least doc_id, and of its texts in the group that with the least hash.
 
-    A group is linked by pairs whose shingles have the Jaccard similarity. Rows without an id stay and link nothing.
+    A group is linked by pairs whose shingles have the Jaccard similarity. Rows are told apart by id and text:
+    rows that share an id but not a text are documents of their own, and of rows alike in both any one stays. A null
+    or empty text has no shingles and is like any other such. Rows without an id stay and link nothing. Needs
+    doc_id and text; columns stay as they are, whatever their names. An empty table gives no rows.
     """
     groups = cut(similar(docs, shingle, radius, similarity))
-    drop = groups.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti")
-    repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(again)
+    kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*")
+    alike = groups.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th")
+    kept = cut(kept.join(alike.withColumn("again", F.lit(True)), ["doc_id", "th"], "left"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    found = rows.join(kept, (F.col("id") == F.col("doc_id")) & (F.col("h") == F.col("th")))
+    out = found.where("again IS NULL").select("row").union(rows.where("id IS NULL").select("row"))
+    return out.union(found.where("again").dropDuplicates(["id", "h"]).select("row")).select("row.*")
