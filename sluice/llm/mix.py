@@ -76,58 +76,74 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: fl
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix-1",
-        max_block: int = 1024, blocks: int = 1 << 20, shard_words: int = 1 << 18) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken.
-
-    Needs doc_id, text and source; other columns are ignored. A null text has size 0 and is never
-    taken; a null source is a source of its own, sorted last; null or repeated doc_ids are fine, as
-    each row is dealt by itself and rows alike in id and text are interchangeable. An empty table
-    gives no rows. ``blocks`` is about how many blocks the mix has, up to ``max_block`` words each.
-    """
+def _dealt(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix-1",
+           max_block: int = 1024, blocks: int = 1 << 17, shard_words: int = 1 << 18, shard_rows: int = 1 << 16, shards: int = 4096) -> DataFrame:
+    """The columns of ``mix`` and ``_key``, which rows alike in id and text share."""
     slim = cut(docs.select(
-        "doc_id", "source", n_words(F.col("text")).alias("size"),
-        F.coalesce(F.concat(F.lit("v"), F.col("source")), F.lit("n")).alias("_s"),
-        F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))).alias("_key"),
+        "doc_id", "source", n_words(F.col("text")).alias("size"), F.coalesce(F.concat(F.lit("v"), F.col("source")), F.lit("n")).alias("_s"), row_key(seed).alias("_key"),
     ))
-    sources = cut(targets(slim.groupBy("_s", "source").agg(F.sum("size").alias("source_size")), weights, share, most))
+    sources = cut(targets(slim.groupBy("_s", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), weights, share, most))
     block = F.greatest(F.lit(1), F.least(F.lit(max_block), F.floor(share * F.col("total") / blocks))).cast("bigint")
-    sources = sources.withColumns({"_b": block, "_shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("bigint"), "_all": F.lit(0)})
+    sources = sources.withColumns({"_b": block, "_shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("_rows") / shard_rows)).cast("bigint"), "_all": F.lit(0)})
     sources = sources.withColumn("_seats", F.floor(share * F.col("total") / F.col("_b") + 0.5).cast("bigint"))
     sources = sainte_lague(sources, ["_all"], "_s", "target", "_seats").withColumn("_quota", F.least("quota", F.floor(most * F.col("source_size") / F.col("_b")).cast("bigint")))
     sources = cut(sources.select("_s", "source_size", "target", "_b", "_shards", "_quota"))
     small = maybe_broadcast(sources, sources.count(), BROADCAST_SOURCES)
 
     dealt = slim.join(small, "_s").withColumn("_shard", F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint") % F.col("_shards"))
-    shards = dealt.groupBy("_s", "_shard").agg(F.sum("size").alias("_words"), F.first("_quota").alias("_quota"), F.first("_b").alias("_b"))
-    shards = sainte_lague(shards, ["_s"], "_shard", "_words", "_quota").select(
+    parts = cut(dealt.groupBy("_s", "_shard").agg(F.sum("size").alias("_words"), F.first("_quota").alias("_quota"), F.first("_b").alias("_b"))
+                .withColumn("_g", F.expr(f"_shard div {shards}")))
+    groups = parts.groupBy("_s", "_g").agg(F.sum("_words").alias("_w"), F.first("_quota").alias("_quota"))
+    groups = sainte_lague(groups, ["_s"], "_g", "_w", "_quota").select("_s", "_g", F.col("quota").alias("_own"))
+    parts = sainte_lague(parts.join(groups, ["_s", "_g"]), ["_s", "_g"], "_shard", "_words", "_own").select(
         "_s", "_shard", "_words", F.least(F.col("quota") * F.col("_b"), F.floor(most * F.col("_words")).cast("bigint")).alias("_take"))
     ring = Window.partitionBy("_s", "_shard").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    laid = dealt.select("doc_id", "size", "source_size", "target", "_s", "_shard", F.sum("size").over(ring).alias("_end"))
-    laid = laid.join(shards, ["_s", "_shard"])
+    laid = dealt.select("doc_id", "size", "source_size", "target", "_s", "_shard", "_key", F.sum("size").over(ring).alias("_end"))
+    laid = laid.join(parts, ["_s", "_shard"])
     rounds, rest = F.expr("_take div greatest(_words, 1)"), F.expr("_take % greatest(_words, 1)")
     part = F.greatest(F.lit(0), F.least(F.col("_end"), rest) - (F.col("_end") - F.col("size")))
-    return laid.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, rounds * F.col("size") + part).otherwise(0).cast("bigint").alias("taken"))
+    return laid.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, rounds * F.col("size") + part).otherwise(0).cast("bigint").alias("taken"), "_key")
+
+
+def row_key(seed: str) -> Column:
+    """A seeded order of documents, by id and text."""
+    return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row a document: doc_id, size, source_size, target, taken.
+
+    Needs doc_id, text and source; other columns are ignored. A null text has size 0 and is never
+    taken; a null source is a source of its own, sorted last; null or repeated doc_ids are fine, as
+    each row is dealt by itself and rows alike in id and text are interchangeable. A very long text is
+    a document like any other. An empty table gives no rows.
+
+    Options: ``weights`` of the sources in order, ``share`` of all words that they have together, ``most``
+    times its words that a source or document may be taken, ``seed``; ``blocks`` is about how many blocks the
+    mix has, of ``max_block`` words at most; a shard has about ``shard_words`` words or ``shard_rows`` rows, and
+    a source's quota is dealt to groups of ``shards`` shards first, then to the shards of each.
+    """
+    return _dealt(docs, **options).drop("_key")
 
 
-def repeated(docs: DataFrame, **options) -> DataFrame:
+def repeated(docs: DataFrame, seed: str = "mix-1", **options) -> DataFrame:
     """The documents as the mix takes them: each row as often as the words taken of it make whole documents, rounded.
 
-    Rows that share an id (or have none) share their mean. Columns stay as they are.
+    Rows alike in id and text share their mean. Columns stay as they are, whatever their names.
     """
-    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_times"))
-    times = cut(taken.select("_id", F.floor(F.col("_times") + 0.5).cast("int").alias("_times")).where("_times > 0"))
-    rows = docs.join(times, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_turn")).drop("_turn")
+    taken = _dealt(docs, seed=seed, **options).groupBy("_key").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("n"))
+    times = cut(taken.select(F.col("_key").alias("k"), F.floor(F.col("n") + 0.5).cast("int").alias("n")).where("n > 0"))
+    rows = docs.select(F.struct("*").alias("row"), row_key(seed).alias("key"))
+    return rows.join(times, F.col("key") == F.col("k")).select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("turn")).select("row.*")
 
 
-#: DuckDB SQL of ``mix`` with its defaults.
+#: DuckDB SQL of ``mix`` with its defaults, where no source has more than one group of shards (10^9 words).
 SQL = r"""
 WITH slim AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, coalesce('v' || source, 'n') AS s,
          md5('mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS key
   FROM documents),
-src0 AS (SELECT s, source, sum(size)::BIGINT AS source_size FROM slim GROUP BY s, source),
+src0 AS (SELECT s, source, sum(size)::BIGINT AS source_size, count(*) AS n_rows FROM slim GROUP BY s, source),
 src1 AS (SELECT *, ([3.0, 1.0, 2.0]::DOUBLE[])[(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS w,
                 sum(source_size) OVER ()::BIGINT AS total, 2.0::DOUBLE * source_size AS cap FROM src0),
 src2 AS (SELECT *, 1.5::DOUBLE * total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
@@ -135,8 +151,8 @@ src2 AS (SELECT *, 1.5::DOUBLE * total - coalesce(sum(cap) OVER (o ROWS BETWEEN
                 row_number() OVER o AS i FROM src1 WINDOW o AS (ORDER BY cap / w ASC, source ASC NULLS LAST)),
 src3 AS (SELECT *, min(CASE WHEN cap > rest * w / ws THEN i END) OVER () AS fi FROM src2),
 src4 AS (SELECT a.*, CASE WHEN a.i >= a.fi THEN b.rest * a.w / b.ws ELSE a.cap END AS target,
-                greatest(1, least(1024, floor(1.5::DOUBLE * a.total / 1048576)))::BIGINT AS b,
-                greatest(1, ceil(a.source_size / 262144))::BIGINT AS shards
+                greatest(1, least(1024, floor(1.5::DOUBLE * a.total / 131072)))::BIGINT AS b,
+                greatest(1, ceil(a.source_size / 262144), ceil(a.n_rows / 65536))::BIGINT AS shards
          FROM src3 a LEFT JOIN src3 b ON b.i = a.fi),
 src5 AS (SELECT *, floor(1.5::DOUBLE * total / b + 0.5)::BIGINT AS seats, sum(target) OVER () AS v, count(*) OVER ()::DOUBLE AS p FROM src4),
 src6 AS (SELECT *, coalesce(greatest(0, floor(target / nullif(v, 0) * (seats - p / 2 - 1) + 0.5) - 1), 0)::BIGINT AS lo,
