@@ -27,8 +27,8 @@ _DDL = "doc_id bigint, piece int, start bigint, length bigint, ids binary, _part
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Rows of the table of partition counts up to which it is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Tokenized units that a worker remembers, about.
-CACHE = 300_000
+#: Bytes of tokenized units that a worker remembers, about, and characters of the longest one that it does.
+CACHE, LONGEST = 96 << 20, 64
 
 
 def vocabulary() -> str:
@@ -58,10 +58,12 @@ class Encoder:
     A unit is a run of non-space with the space before it, or a run of spaces; the tokenizer's own
     pattern never crosses these, so the units' ids joined are the text's. Ids are those of the tokenizer
     file; where it is a byte-level BPE with ids in order of merges, a quicker encoder with the same
-    merges makes them, and the tokenizer itself where not.
+    merges makes them, and the tokenizer itself where not. As the tokenizer does, a special token's
+    text is that token wherever it stands, and the texts around it are encoded by themselves.
     """
 
     def __init__(self, path: str):
+        import json
         import re
 
         import tiktoken
@@ -69,29 +71,53 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.unit = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
-        self.seen: dict[str, bytes] = {}
-        ranks = _byte_ranks(path)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        added = {t["content"]: t for t in file.get("added_tokens", [])}
+        plain = not any(t.get(k) for t in added.values() for k in ("single_word", "lstrip", "rstrip", "normalized")) and not file.get("normalizer")
+        ranks = _byte_ranks(path) if plain else None
+        self.whole = None
         if ranks:
-            self.ids = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if k != b"<|endoftext|>"}, special_tokens={}).encode_ordinary
-        else:
+            self.ids = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if k.decode("utf-8", "replace") not in added}, special_tokens={}).encode_ordinary
+        else:  # texts as they are
             t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True
-            self.ids = lambda u: t.encode(u, add_special_tokens=False).ids
+            self.whole = lambda x: t.encode(x, add_special_tokens=False).ids
+        self.special = {x: np.array([t["id"]], "<u4").tobytes() for x, t in added.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else lambda x: [x]
+        self.seen: dict[str, bytes] = {}
+        self.held = 0
+
+    def units(self, text: str) -> list[str]:
+        """The units of a text; special tokens are units of their own."""
+        if not any(x in text for x in self.special):
+            return self.unit(text)
+        return [u for x in self.split(text) for u in ([x] if x in self.special else self.unit(x))]
 
     def encode(self, texts: list[str], chars: int = 1 << 20) -> Iterator[bytes]:
+        as_bytes = lambda ids: np.array(ids, dtype="<u4").tobytes()
+        if self.whole:
+            yield from (as_bytes(self.whole(t)) for t in texts)
+            return
         lo = 0
         while lo < len(texts):
             hi, n = lo + 1, len(texts[lo])
             while hi < len(texts) and n + len(texts[hi]) <= chars:
                 n += len(texts[hi])
                 hi += 1
-            units = [self.unit(t) for t in texts[lo:hi]]
-            if len(self.seen) > CACHE:  # keep what this run needs, which has the common ones
+            units = [self.units(t) for t in texts[lo:hi]]
+            if self.held > CACHE:  # keep what this run needs, which has the common ones
                 self.seen = {u: self.seen[u] for u in set().union(*units) if u in self.seen}
-            for u in set().union(*units).difference(self.seen):
-                self.seen[u] = np.array(self.ids(u), dtype="<u4").tobytes()
-            for u in units:
-                yield b"".join(map(self.seen.__getitem__, u))
+                self.held = sum(4 * len(u) + len(v) + 200 for u, v in self.seen.items())
+            here = dict(self.special)
+            for u in set().union(*units).difference(self.seen, here):
+                ids = as_bytes(self.ids(u))
+                if len(u) > LONGEST:
+                    here[u] = ids
+                else:
+                    self.seen[u] = ids
+                    self.held += 4 * len(u) + len(ids) + 200
+            for us in units:
+                yield b"".join([here[u] if u in here else self.seen[u] for u in us])
             lo = hi
 
 
