@@ -27,7 +27,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template title textarea iframe svg math object audio video canvas head".split())
 #: An open one of the values ends where the key begins, unless a container of the second set lies between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "tr": ({"tr"}, {"table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME_AT = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_EVENT = re.compile(r"""[>"']""")
+#: Open elements at most, as in browsers: one that would lie deeper is not nested in its predecessors.
+DEPTH = 512
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -36,6 +39,53 @@ WIDE = PATH + WORD + PLAIN_F
 HIDDEN = 24
 
 
+class Markup:
+    """Tags, comments and declarations of a page, in time linear in its length whatever is left open."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.failed: set[int] = set()  # closing quotes from which no tag ends
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose attributes begin here ends, quoted values skipped; -1 if it doesn't."""
+        seen = []
+        while m := _EVENT.search(self.html, at):
+            if m[0] == ">":
+                return m.start()
+            close = self.html.find(m[0], m.end())
+            if close < 0 or close in self.failed:
+                break
+            seen.append(close)
+            at = close + 1
+        self.failed.update(seen)
+        return -1
+
+    def next(self, pos: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, name, closing, attributes) of the next piece of markup; no name for a comment or declaration."""
+        html = self.html
+        while (i := html.find("<", pos)) >= 0:
+            if html.startswith("<!--", i):
+                end = html.find("-->", i + 4)
+                return i, len(html) if end < 0 else end + 3, "", "", ""
+            if i > self.last:  # no tag ends any more; a comment may begin
+                i = html.find("<!--", i)
+                if i < 0:
+                    return None
+                pos = i
+                continue
+            if m := _NAME_AT.match(html, i + 1):
+                end = self._end(m.end())
+                if end < 0 and m[1]:
+                    return i, html.index(">", i) + 1, "", "", ""
+                if end < 0:  # a quote is left open: the tag ends where it can
+                    end = html.index(">", m.end())
+                return i, end + 1, m[2], m[1], html[m.end() : end]
+            if html[i + 1 : i + 2] in ("!", "?", "/"):
+                return i, html.index(">", i) + 1, "", "", ""
+            pos = i + 1
+        return None
+
+
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(tag path, text, characters in links) of each leaf block with text, in page order."""
     out: list[tuple[tuple[str, ...], str, int]] = []
@@ -62,9 +112,10 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         path = sum((p for n, p in stack if n in BLOCK), ())
 
     pos, n, links = 0, len(html), 0
+    markup, missing = Markup(html), set()
     while pos < n:
-        m = _TAG.search(html, pos)
-        end = m.start() if m else n
+        m = markup.next(pos)
+        end = m[0] if m else n
         if end > pos:
             s = html[pos:end]
             text.append(s)
@@ -72,11 +123,10 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
                 linked += len(s)
         if not m:
             break
-        pos = m.end()
-        name = m[2] or m[5]
+        _, pos, name, closing, attrs = m
         if not name:
             continue
-        name, closing = name.lower(), m[1] or m[4]
+        name, single = name.lower(), html[pos - 2] == "/"
         if closing:
             if name == "p" and not any(t == "p" for t, _ in stack):
                 flush()
@@ -90,12 +140,13 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
             links = sum(t == "a" for t, _ in stack)
             continue
         if name in RAW:
-            if name == "head":
-                stop = re.compile(r"</head\s*>|<body\b", re.I).search(html, pos)
-                pos = (stop.start() if stop[0][1] != "/" else stop.end()) if stop else pos
-            elif not m[0].endswith("/>"):
-                stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, pos)
-                pos = stop.end() if stop else (n if name in ("script", "style") else pos)
+            if name == "head" or not single:
+                stop = None if name in missing else re.compile(r"</head\s*>|<body\b" if name == "head" else rf"</{re.escape(name)}\s*>", re.I).search(html, pos)
+                if stop:
+                    pos = stop.start() if stop[0][1] != "/" else stop.end()
+                else:
+                    missing.add(name)  # nor is there one further on
+                    pos = n if name in ("script", "style") else pos
             continue
         if name == "br":
             text.append(" ")
@@ -116,9 +167,8 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
                     if stack[k][0] in between:
                         break
             flush()
-        if name in VOID or m[0].endswith("/>"):
+        if name in VOID or single or len(stack) >= DEPTH:
             continue
-        attrs = m[3] or m[6] or ""
         marks: tuple[str, ...] = (name,)
         if "=" in attrs and name in BLOCK:
             marks += tuple("." + w for a in _ATTR.finditer(attrs) for w in _NAME.findall((a[1] or a[2] or a[3] or "").lower()))
