@@ -119,10 +119,16 @@ def fit(rows: DataFrame, size: int = 256, width: float = 3.0, lam: float = 0.1,
     return Model(phi, final, x / BINS, y)
 
 
-def train(stats: DataFrame, labels: DataFrame, held: Column, learn_rows: int = LEARN_ROWS) -> Model | None:
-    """A model from the labels whose doc_id is not ``held`` and the documents' FEATURES."""
+def train(docs: DataFrame, labels: DataFrame, held: Column, learn_rows: int = LEARN_ROWS, measured: bool = True) -> Model | None:
+    """A model from the labels whose doc_id is not ``held`` and the documents: their FEATURES if ``measured``, else their texts, of which only labelled ones are measured.
+
+    An id that repeats is learnt from once, by its row with the least features.
+    """
     sample = labels_sample(labels, "quality", ~F.coalesce(held, F.lit(False)), learn_rows)
-    rows = stats.join(maybe_broadcast(sample, sample.count(), 4 * learn_rows), "doc_id")
+    few = maybe_broadcast(sample, sample.count(), 4 * learn_rows)
+    if not measured:
+        docs = document_stats(docs.select("doc_id", "text").join(few.select("doc_id"), "doc_id", "left_semi")).select("doc_id", *[c.cast("double").alias(f) for f, c in ratios().items()])
+    rows = docs.join(few, "doc_id").groupBy("doc_id").agg(F.min(F.struct("y", *FEATURES)).alias("r")).select("doc_id", "r.*")
     return fit(rows.withColumn("f", F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(FOLDS)).cast("int")))
 
 
@@ -131,7 +137,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, held: Column, learn_rows:
 
     Learns from labels whose doc_id is not ``held``. Needs doc_id and text of documents, doc_id and quality
     of labels; other columns are ignored. Null and empty texts get the score of a text without words, null
-    and repeated ids are scored row by row. With no label to learn from, every score is 0.5.
+    and repeated ids are scored row by row. A very long text is held whole by one task. With no label to learn
+    from, every score is 0.5; an empty table gives no rows.
     """
     rows = cut(document_stats(docs).select("doc_id", *[c.cast("double").alias(f) for f, c in ratios().items()]))
     model = train(rows, labels, held, learn_rows)
@@ -153,8 +160,7 @@ def held_out(docs_id: str | Column = "doc_id") -> Column:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, learn_rows: int = LEARN_ROWS) -> DataFrame:
     """The documents, all columns, whose score is the threshold at least; each row is judged by its own text. All stay where there is no label to learn from."""
-    stats = document_stats(docs).select("doc_id", *[c.cast("double").alias(f) for f, c in ratios().items()])
-    model = train(stats, labels, held_out(), learn_rows)
+    model = train(docs, labels, held_out(), learn_rows, measured=False)
     if model is None:
         return docs
     text = docs.columns.index("text")
@@ -164,4 +170,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, learn_
             for p in pieces(b, "text"):
                 yield p.filter(pa.array(model(ratio_matrix(measure(p.column(text)))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, docs.schema)  # whatever their names hold

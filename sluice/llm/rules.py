@@ -114,11 +114,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_RO
 
     Needs doc_id and text of documents and doc_id and quality of labels; other columns are ignored. A null
     text has no words and fails the base rule. Null doc_ids are judged but never learnt from; repeated
-    ids are judged row by row. Without labels there are no rules, and the base rule alone decides.
+    ids are judged row by row, and a labelled one is learnt from once, by its row with the least features. A very
+    long text is held whole by one task. Without labels there are no rules, and the base rule alone decides; an
+    empty table gives no rows.
     """
     stats = cut(document_stats(docs))
     sample = labels_sample(labels, "quality", F.lit(True), learn_rows)
     rows = stats.join(maybe_broadcast(sample, sample.count(), 4 * learn_rows), "doc_id").select("doc_id", "y", *[c.alias(f) for f, c in ratios().items()])
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("y", *ratios())).alias("r")).select("doc_id", "r.*")  # however often an id repeats
     got = rows.toPandas().sort_values("doc_id", kind="stable")  # learn_rows at about most
     x = {f: got[f].to_numpy(float) for f in ratios()}
     rules = learn(x, got["y"].to_numpy(float) < 0.5) if len(got) else []

@@ -67,7 +67,8 @@ def fit(docs: DataFrame, sample: DataFrame) -> np.ndarray | None:
     out = pa.schema([("shard", pa.int32()), ("order", pa.int64()), ("y", pa.float64()), ("ids", pa.binary())])
     n = sample.count()
     shards = max(1, min(n, LEARN_DOCS) // SHARD_DOCS)
-    rows = docs.select("doc_id", "text").join(maybe_broadcast(sample, n, 4 * LEARN_DOCS), "doc_id")
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(maybe_broadcast(sample, n, 4 * LEARN_DOCS), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("r")).select("doc_id", "r.*")  # however often an id repeats
     order = F.xxhash64(F.lit("order"), F.col("doc_id"))
     rows = rows.select("text", "y", order.alias("order"), F.pmod(order, F.lit(shards)).cast("int").alias("shard"))
 
@@ -99,8 +100,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held: Column, learn_docs:
 
     Learns from labels whose doc_id is not ``held``. Words are runs of letters and digits, lower-cased A-Z.
     Needs doc_id and text of documents, doc_id and toxic of labels; other columns are ignored. Null and empty
-    texts get the score of the bias alone; null and repeated ids are scored row by row. With no label to
-    learn from, every score is 0.
+    texts get the score of the bias alone; null and repeated ids are scored row by row, and a labelled one that
+    repeats is learnt from once, by its text with the least hash. A very long text is held whole by one task.
+    With no label to learn from, every score is 0; an empty table gives no rows.
     """
     w = fit(docs, labels_sample(labels, "toxic", ~F.coalesce(held, F.lit(False)), learn_docs))
     if w is None:
