@@ -2,8 +2,9 @@
 
 Centroids come from balanced k-means on a bounded sample and fit in memory with a neighbour graph over
 them, which a beam search walks to place vectors and queries. A vector near a boundary is listed in several
-clusters. A query reads the lists whose centroids lie within a ratio of its nearest one. Long lists are
-split by a hash of the vector, so a popular region is many groups.
+clusters. A query reads the lists whose centroids lie within a ratio of its nearest one, of a share of all
+lists at most. Long lists are split by a hash of the vector and the queries of a list by a hash of theirs, so
+a popular region is many groups.
 
 Vectors that are equal are indexed once, with the least of their ids that any answer can need (k + 1 of
 them), and queries that are equal are searched once. Both are exact, and a hot vector costs one entry.
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,10 @@ from sluice.llm.common import cut
 SAMPLE, MOST_LISTS = 24_000, 2048
 #: Share of the lists that a query may read, and the fewest; a fixed number would lose recall as the lists grow.
 SHARE, BEAM = 0.22, 96
-#: Distinct vectors a list should have, and parts of a longer list.
-LIST, PART = 96, 4096
+#: Queries of the sample that the ratio is learnt from, and the share of their neighbours that it must reach.
+TRIALS, REACHED = 256, 0.99
+#: Distinct vectors a list should have, and vectors and queries of a list that meet at once, about.
+LIST, PART, ASKED = 96, 4096, 8192
 DEGREE, ENTRIES = 24, 32
 
 
@@ -99,6 +103,28 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarr
     return at
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1), 0))
+
+
+def pruning_ratio(x: np.ndarray, at: np.ndarray, k: int, copies: int, spread: float, seed: int = 9) -> float:
+    """The ratio to a query's nearest centroid within which lists hold REACHED of its neighbours, by brute force over a sample."""
+    if len(x) < 2 or len(at) < 2:
+        return 1.0
+    q = np.random.default_rng(seed).choice(len(x), min(TRIALS, len(x)), replace=False)
+    d = _distances(x[q], x)
+    d[np.arange(len(q)), q] = np.inf
+    k = min(k, len(x) - 1)
+    near = np.argpartition(d, k - 1, 1)[:, :k]
+    asked = _distances(x[q], at)
+    asked /= np.maximum(asked.min(1, keepdims=True), 1e-9)
+    home = _distances(x[near.ravel()], at)
+    own = np.argsort(home, 1, kind="stable")[:, :copies]
+    mine = np.take_along_axis(home, own, 1) <= spread * home.min(1, keepdims=True) + 1e-12
+    need = np.where(mine, np.take_along_axis(np.repeat(asked, k, 0), own, 1), np.inf).min(1)
+    return float(np.quantile(need, REACHED))
+
+
 def usable(vector: str) -> Column:
     """Whether a vector takes part: not null, empty or zero, and each component a finite number."""
     c = F.col(vector)
@@ -113,7 +139,7 @@ def _rows(a: pa.ChunkedArray, dim: int) -> np.ndarray:
     return a.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, beam: int | None = None, ratio: float = 1.5, copies: int = 4, spread: float = 1.1, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, beam: int | None = None, ratio: float | None = None, copies: int = 4, spread: float = 1.1, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, by Euclidean distance in double precision.
 
     Needs vec_id and embedding; other columns are ignored. Queries are the rows where ``is_query`` holds;
@@ -121,8 +147,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, beam: int | None
     vectors that are null, zero, not of the commonest size, or hold a null or non-finite component. Where an
     id repeats with other vectors, it is near by its nearest one. Ties go to the smaller vec_id. Fewer
     candidates than k are all returned; an empty table gives no rows. ``ratio`` and ``spread`` compare
-    distances with that to the nearest centroid, for the lists a query reads and a vector is put in. ``beam`` is
-    the most lists that a query reads; by default a share of all.
+    distances with that to the nearest centroid, for the lists a query reads and a vector is put in; the first is
+    learnt from the sample where none is given. ``beam`` is the most lists that a query reads; by default a share
+    of all (near-uniform vectors of many dimensions have most centroids within the ratio).
     """
     spark = vectors.sparkSession
     good = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(usable("v") & F.col("vec_id").isNotNull())
@@ -140,6 +167,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, beam: int | None
     lists = max(1, min(MOST_LISTS, n // LIST, len(learn) // 8))
     beam = beam or max(BEAM, math.ceil(SHARE * lists))
     graph = Graph.build(centroids(learn, lists))
+    ratio = ratio or pruning_ratio(learn, graph.at, k, copies, spread)
     del learn
 
     def placed(most: int, within: float, wide: int):
@@ -157,33 +185,40 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, beam: int | None
 
     posted = cut(classes.select("v", "h", "ids").mapInArrow(placed(copies, spread, 16), "v array<double>, h bigint, ids array<bigint>, list int"))
     parts = F.broadcast(cut(posted.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))))  # MOST_LISTS rows at most
-    posted = posted.join(parts, "list").withColumn("part", F.pmod("h", F.col("parts")).cast("int"))
     asked = cut(good.where("q").select("v", "h", "vec_id"))
     queries = asked.groupBy("h", "v").agg(F.min("vec_id").alias("qc"))
-    queries = queries.select("v", "qc").mapInArrow(placed(beam, ratio, beam), "v array<double>, qc bigint, list int")
-    queries = queries.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "qc", "v")
+    queries = cut(queries.select("v", "qc").mapInArrow(placed(beam, ratio, beam), "v array<double>, qc bigint, list int"))
+    turns = F.broadcast(cut(queries.groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("turns"))))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    posted = posted.join(parts, "list").join(turns, "list").withColumn("part", F.pmod("h", F.col("parts")).cast("int")).withColumn("turn", every("turns"))
+    queries = queries.join(parts, "list").join(turns, "list").withColumn("turn", F.pmod(F.xxhash64("qc"), F.col("turns")).cast("int")).withColumn("part", every("parts"))
+    queries = queries.select("list", "part", "turn", "qc", "v")
     out = pa.schema([("qc", pa.int64()), ("h", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
 
     def compare(post: pa.Table, ask: pa.Table) -> pa.Table:
         if not post.num_rows or not ask.num_rows:
             return out.empty_table()
         x, q = _rows(post["v"], dim), _rows(ask["v"], dim)
+        first = pa.compute.list_element(post["ids"], 0).to_numpy()
         sq, rows, cols, score = (x * x).sum(1), [], [], []
-        wide = min(len(x), 2 * k + 12)
+        most = min(len(x), k + 2)
         for lo in range(0, len(q), 256):
             b = q[lo : lo + 256]
             d = sq - 2 * b @ x.T
-            near = np.argpartition(d, wide - 1, 1)[:, :wide]
-            exact = np.sqrt(((x[near] - b[:, None, :]) ** 2).sum(2))
-            best = np.argsort(exact, 1, kind="stable")[:, : k + 2]
-            row = np.arange(len(b))[:, None]
-            rows.append(np.repeat(np.arange(lo, lo + len(b)), best.shape[1]))
-            cols.append(near[row, best].ravel())
-            score.append(exact[row, best].ravel())
+            edge = np.partition(d, most - 1, 1)[:, most - 1 :  most]
+            slack = 1e-11 * (sq.max() + (b * b).sum(1)[:, None])  # more than rounding can move a distance
+            r, c = np.nonzero(d <= edge + slack)  # all that may be at the cut-off distance, or nearer
+            exact = np.sqrt(((x[c] - b[r]) ** 2).sum(1))
+            order = np.lexsort((first[c], exact, r))
+            r, c, exact = r[order], c[order], exact[order]
+            best = np.arange(len(r)) - np.searchsorted(r, r) < most
+            rows.append(r[best] + lo)
+            cols.append(c[best])
+            score.append(exact[best])
         rows, cols = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))
         return pa.table([ask["qc"].take(rows), post["h"].take(cols), post["ids"].take(cols), pa.array(np.concatenate(score))], schema=out)
 
-    met = posted.select("list", "part", "v", "h", "ids").groupBy("list", "part").cogroup(queries.groupBy("list", "part")).applyInArrow(compare, "qc bigint, h bigint, ids array<bigint>, score double")
+    met = posted.select("list", "part", "turn", "v", "h", "ids").groupBy("list", "part", "turn").cogroup(queries.groupBy("list", "part", "turn")).applyInArrow(compare, "qc bigint, h bigint, ids array<bigint>, score double")
     best = Window.partitionBy("qc").orderBy("score", F.col("ids")[0])
     met = met.groupBy("qc", "h", "ids").agg(F.min("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     asked = asked.join(asked.groupBy("h", "v").agg(F.min("vec_id").alias("qc")), ["h", "v"]).select("qc", F.col("vec_id").alias("query_id"))
