@@ -49,6 +49,14 @@ def test_odd_vectors(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_ties_go_to_the_smaller_id(spark):
+    """128 unit vectors along axes: all others are equally far from a query."""
+    ids = np.random.default_rng(4).permutation(128)
+    df = spark.createDataFrame([(int(i), [float(j == k) for j in range(128)]) for k, i in enumerate(ids)], "vec_id bigint, embedding array<float>")
+    got = [r.vec_id for r in ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == list(range(1, 11))
+
+
 def test_a_hot_vector_is_one_entry_and_exact(spark):
     df = spark.range(3000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 2 == 0, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.col("id").cast("double"), F.lit(1.0))).cast("array<float>").alias("embedding"))
     rows = ann.nearest(df, F.col("vec_id") % 500 == 0).collect()
@@ -67,6 +75,49 @@ def test_blocks():
     assert got[0][0][-1] == "nav" and got[0][2] == 4 and html.blocks("") == [] and html.blocks("a < b") == [((), "a < b", 0)]
 
 
+def test_malformed_markup_takes_linear_time():
+    import time
+
+    n = 300_000
+    for bad in ("<a ", "<a \"> \" ", "<a '", "</a ", "<a<", "<!-", "<title>", "<b></i>", "<div>", "<!--", "<a x=\"'>", "<i><p>", "</p>", "&#"):
+        at = time.perf_counter()
+        html.blocks("<p>first</p>" + bad * (n // len(bad)) + "<p>last words")
+        assert time.perf_counter() - at < 10, bad
+    assert [b[1] for b in html.blocks("<p>one<p title='x>two</p><p>three")] == ["one", "two", "three"]
+    assert [b[1] for b in html.blocks("a <b c")] == ["a <b c"] and [b[1] for b in html.blocks("x <!-- y")] == ["x"]
+
+
+def test_lstm_gradients_are_numeric_ones():
+    r = np.random.default_rng(6)
+    steps, m, wide, hid = 5, 3, 4, 3
+    x, on = r.normal(size=(steps, m, wide)), (r.random((steps, m)) < 0.7).astype(float)
+    p = {"w": r.normal(size=(wide, 4 * hid)), "u": r.normal(size=(hid, 4 * hid)), "b": r.normal(size=4 * hid)}
+    to = r.normal(size=(steps, m, hid))
+    loss = lambda: float((html._lstm(x, on, p["w"], p["u"], p["b"])[0] * to).sum())
+    _, saved = html._lstm(x, on, p["w"], p["u"], p["b"], True)
+    for k, got in zip("wub", html._lstm_back(x, to, p["u"], saved)):
+        for i in np.ndindex(p[k].shape):
+            was, e = p[k][i], 1e-6
+            p[k][i] = was + e
+            up = loss()
+            p[k][i] = was - e
+            down = loss()
+            p[k][i] = was
+            assert abs((up - down) / (2 * e) - got[i]) < 1e-5 * max(1, abs(got[i]))
+
+
+def test_lstm_states_are_those_of_a_plain_loop():
+    r = np.random.default_rng(7)
+    x, w, u, b = r.normal(size=(6, 1, 4)), r.normal(size=(4, 12)), r.normal(size=(3, 12)), r.normal(size=12)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h, c = np.zeros(3), np.zeros(3)
+    for t, got in enumerate(html._lstm(x, np.ones((6, 1)), w, u, b)[0][:, 0]):
+        z = x[t, 0] @ w + h @ u + b
+        c = sig(z[3:6] + 1) * c + sig(z[:3]) * np.tanh(z[9:])
+        h = sig(z[6:9]) * np.tanh(c)
+        assert np.allclose(got, h)
+
+
 def test_extraction(spark, prose):
     para = [prose(i, 30).capitalize() + "." for i in range(4)]
     menu = "<nav><ul>" + "".join(f"<li><a href='/{i}'>Menu {i}</a></li>" for i in range(5)) + "</ul></nav>"
