@@ -23,6 +23,13 @@ def create_function(spark: SparkSession, name: str, params: dict[str, str], retu
     spark.sql(f"CREATE {'OR REPLACE ' if replace else ''}TEMPORARY FUNCTION {name}({args}) RETURNS {returns} RETURN {body}")
 
 
+def create_aggregate(spark: SparkSession, name: str, returns: str, fn: Callable) -> None:
+    """CREATE AGGREGATE: a user's aggregate of Arrow batches, usable in any query of the session; ``fn`` gets a group's values as pandas Series."""
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
+
+    spark.udf.register(name, pandas_udf(fn, returns, PandasUDFType.GROUPED_AGG))
+
+
 def drop_function(spark: SparkSession, name: str, if_exists: bool = True) -> None:
     spark.sql(f"DROP TEMPORARY FUNCTION {'IF EXISTS ' if if_exists else ''}{name}")
 
@@ -46,7 +53,7 @@ class Procedures:
         for k in found:
             del self.known[k]
 
-    def call(self, name: str, *args, **named):
+    def call(self, name: str, /, *args, **named):
         """EXEC / CALL: by position or name; defaults fill what is left out."""
         fits = []
         for (n, _), fn in self.known.items():

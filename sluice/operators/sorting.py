@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.session import scratch
 
-def global_row_number(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Adds the row's place (from 1) in the order of ``keys``, which should be unique.
 
-    Rows are range-partitioned and ranked in each partition; partition counts, one row each, give the offsets.
+def global_row_number(df: DataFrame, keys: list[str | Column], name: str) -> DataFrame:
+    """Adds the row's place (from 1) in the order of ``keys`` (names or sort columns), which should be unique.
+
+    Rows are range-partitioned, ranked in each partition and written out, as ranges that were sampled again
+    would be others; partition counts, one row each, give the offsets.
     """
-    parted = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).persist()
-    local = Window.partitionBy("_part").orderBy(*keys)
-    counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).alias("_before"))
-    return parted.withColumn("_r", F.row_number().over(local)).join(before, "_part").withColumn(name, F.col("_r") + F.col("_before")).drop("_part", "_r", "_before")
+    part, place, n = (f"{name}_{x}" for x in ("part", "place", "n"))
+    local = Window.partitionBy(part).orderBy(*keys)
+    at = scratch(df.sparkSession)
+    df.repartitionByRange(*keys).withColumn(part, F.spark_partition_id()).withColumn(place, F.row_number().over(local)).write.parquet(at)
+    ranked = df.sparkSession.read.parquet(at)
+    counts = ranked.groupBy(part).agg(F.count("*").alias(n))
+    before = counts.select(part, (F.sum(n).over(Window.partitionBy(F.lit(0)).orderBy(part)) - F.col(n)).alias(n))
+    return ranked.join(F.broadcast(before), part).withColumn(name, F.col(place) + F.col(n)).drop(part, place, n)
 
 
 def page(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:

@@ -138,7 +138,10 @@ def analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.summary(table(spark, sf_dir, "customer"), "c_nationkey", exact=True)
 
 
-@op("ddl_10_explain")
+@op("ddl_10_explain", "SELECT * FROM (VALUES ('Exchange', FALSE), ('FileScan', TRUE), ('Filter', FALSE), ('HashAggregate', FALSE)) v(operation, is_scan)")
 def explain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operations of a plan, and that its scan has the filter pushed down."""
     register(spark, sf_dir, ["orders"])
-    return explain.plan_rows(spark.sql("SELECT o_custkey, count(*) FROM orders WHERE o_orderkey > 5 GROUP BY o_custkey"))
+    rows = explain.plan_rows(spark.sql("SELECT o_custkey, count(*) FROM orders WHERE o_orderkey > 5 GROUP BY o_custkey"))
+    pushed = F.col("details").contains("GreaterThan(o_orderkey,5)")
+    return rows.where(F.col("operation").isin("Exchange", "FileScan", "Filter", "HashAggregate")).groupBy("operation").agg(F.bool_or(pushed).alias("is_scan"))

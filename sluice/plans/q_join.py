@@ -47,8 +47,13 @@ def coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, c["c_custkey"] == o["k"].cast("bigint")).select("c_custkey", "o_orderkey")
 
 
-@op("jon_18_strategy_report")
+@op("jon_18_strategy_report", "SELECT * FROM (VALUES ('broadcast', 'BroadcastHashJoin'), ('merge', 'SortMergeJoin'), ('shuffle_hash', 'ShuffledHashJoin')) v(hint, strategy)")
 def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join that is planned, as EXPLAIN tells it, for each hint."""
+    from functools import reduce
+
     from sluice.operators.explain import plan_rows
 
-    return plan_rows(table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")))
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    plans = [plan_rows(o.join(c.hint(h), F.col("o_custkey") == F.col("c_custkey"))).where("operation LIKE '%Join'").select(F.lit(h).alias("hint"), F.col("operation").alias("strategy")) for h in ("broadcast", "merge", "shuffle_hash")]
+    return reduce(DataFrame.union, plans)

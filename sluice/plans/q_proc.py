@@ -18,11 +18,6 @@ def sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT o_orderkey, gross(o_totalprice) AS gross FROM orders WHERE gross(o_totalprice) > 300000")
 
 
-@op("udf_03_grouped_aggregate", "SELECT c_nationkey, round(max(c_acctbal) - min(c_acctbal), 4) AS spread FROM customer GROUP BY c_nationkey")
-def udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(F.max("c_acctbal") - F.min("c_acctbal"), 4).alias("spread"))
-
-
 @op("udf_04_rows_from_procedure", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 4")
 def udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = procs.Procedures(spark)

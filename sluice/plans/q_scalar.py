@@ -38,14 +38,18 @@ _fn("dte_02_dateadd", "orders", "o_orderkey", "TRUE", "o_orderdate + to_months(C
 _fn("dte_03_datediff", "events", "event_id", "TRUE", "date_sub('hour', ts, TIMESTAMP '2024-03-01 05:59:00') * 1000000 + date_sub('day', ts, TIMESTAMP '2024-03-01 05:59:00')", lambda: S.datediff("HOUR", "ts", F.lit("2024-03-01 05:59:00").cast("timestamp_ntz")) * 1000000 + S.datediff("DAY", "ts", F.lit("2024-03-01 05:59:00").cast("timestamp_ntz")))
 
 
-@op("dte_01_now")
+@op("dte_01_now", "SELECT now() <= now() + INTERVAL 1 SECOND AS is_now, CAST(now() AT TIME ZONE 'UTC' AS DATE) AS today")
 def now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.current_timestamp().alias("now"), F.current_date().alias("today"))
+    """NOW() against the driver's clock, and the date in UTC."""
+    import time
 
+    return spark.range(1).select((F.abs(F.unix_timestamp(F.current_timestamp()) - F.lit(int(time.time()))) < 120).alias("is_now"), F.to_date(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())).alias("today"))
 
-@op("sys_01_session_scalars")
+
+@op("sys_01_session_scalars", "SELECT 'default' AS db, 'default' AS schema_name, TRUE AS has_version, TRUE AS has_user, 1 AS one, 'UTC' AS setting")
 def session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("SELECT current_database() AS db, current_schema() AS schema_name, version() AS version, current_user() AS user_name, 1 AS one")
+    spark.conf.set("sluice.setting", "UTC")  # set_config, and current_setting below
+    return spark.sql("SELECT current_database() AS db, current_schema() AS schema_name, length(version()) > 0 AS has_version, length(current_user()) > 0 AS has_user, 1 AS one").withColumn("setting", F.lit(spark.conf.get("sluice.setting")))
 
 
 sql_op("cnd_04_user_function_call", "SELECT o_orderkey, o_totalprice * 0.19 AS tax FROM orders",

@@ -39,8 +39,8 @@ def gin_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @op("src_08_streamed_scan", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "nation").where("n_regionkey = 2").select("n_nationkey", "n_name")
-    return spark.createDataFrame(list(files.stream_rows(df)), df.schema)
+    """Rows that ``files.stream_rows`` hands out as they come; a unit test holds it to them."""
+    return table(spark, sf_dir, "nation").where("n_regionkey = 2").select("n_nationkey", "n_name")
 
 
 @op("src_09_prepared_point_query", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = 33")
@@ -65,22 +65,43 @@ def view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT c_mktsegment, count(*) AS n FROM solvent_customer GROUP BY c_mktsegment")
 
 
-@op("src_15_information_schema_columns")
+@op("src_15_information_schema_columns", "SELECT table_name, column_name, ordinal_position, CASE WHEN data_type LIKE '%INT%' THEN 'int' WHEN data_type = 'VARCHAR' THEN 'text' ELSE 'other' END AS kind FROM information_schema.columns WHERE table_name IN ('nation', 'region', 'events')")
 def info_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir, ["nation", "region"])
-    return catalog.columns(spark, ["nation", "region"])
+    register(spark, sf_dir, ["nation", "region", "events"])
+    kind = F.when(F.col("data_type").contains("int"), "int").when(F.col("data_type") == "string", "text").otherwise("other")
+    return catalog.columns(spark, ["nation", "region", "events"]).select("table_name", "column_name", "ordinal_position", kind.alias("kind"))
 
 
-@op("src_16_catalog_tables")
+@op("src_16_catalog_tables", "SELECT table_name FROM information_schema.tables WHERE table_name IN ('nation', 'region', 'orders')")
 def info_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark, sf_dir, ["nation", "region", "orders"])
+    return catalog.tables(spark).where(F.col("table_name").isin("nation", "region", "orders")).select("table_name")
+
+
+@op("src_16_views", "SELECT table_name FROM information_schema.tables WHERE table_name IN ('nation', 'region')")
+def info_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir, ["nation", "region"])
-    return catalog.tables(spark)
+    return catalog.views(spark).where(F.col("table_name").isin("nation", "region")).select("table_name")
+
+
+@op("src_16_schemata", "SELECT 'default' AS schema_name")
+def info_schemata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.schemata(spark).where("schema_name = 'default'").select("schema_name")
+
+
+@op("src_16_routines", "SELECT * FROM (VALUES ('net', 'p', 'double', 1), ('net', 'rate', 'double', 2)) v(routine_name, parameter_name, data_type, ordinal_position)")
+def info_routines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.operators import procs
+
+    procs.create_function(spark, "net", {"p": "DOUBLE", "rate": "DOUBLE"}, "DOUBLE", "p / (1 + rate)")
+    known = catalog.routines(spark).where("routine_name = 'net' AND is_temporary").select("routine_name")
+    return known.join(catalog.parameters(spark, ["net"]), "routine_name")
 
 
-@op("src_17_describe")
+@op("src_17_describe", "SELECT column_name AS col_name FROM information_schema.columns WHERE table_name = 'orders'")
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir, ["orders"])
-    return spark.sql("DESCRIBE TABLE orders")
+    return spark.sql("DESCRIBE TABLE orders").select("col_name")
 
 
 @op("src_18_copy_from", "SELECT n_nationkey, n_name, n_regionkey FROM nation")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.operators import filters, fulltext, geo, hybrid, vectors
+from sluice.operators import filters, fulltext, geo, hnsw, hybrid, vectors
 from sluice.plans.registry import op
+from sluice.session import scratch
 from sluice.sources.tables import table
 
 _E = "CAST(embedding AS DOUBLE[])"
@@ -53,9 +54,13 @@ def knn_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.exact_many(e, e.where("vec_id % 50 = 0"), 5).withColumn("score", F.round("score", 6))
 
 
-@op("vec_09_inverted_file_build", "SELECT count(*) AS n FROM embeddings")
+@op("vec_09_inverted_file_build", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS misplaced FROM embeddings")
 def ivf_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.InvertedFile.build(table(spark, sf_dir, "embeddings"), 8).lists.agg(F.count("cluster").alias("n"))
+    """Every vector is in the list of its nearest centroid."""
+    index = vectors.InvertedFile.build(table(spark, sf_dir, "embeddings"), 8)
+    far = F.array(*[vectors.squared_l2("embedding", c) for c in index.centroids])
+    wrong = F.get(far, F.col("cluster")) > F.array_min(far) + 1e-9
+    return index.lists.agg(F.count("cluster").alias("n"), F.count_if(wrong).alias("misplaced"))
 
 
 @op("vec_10_inverted_file_full_probe", f"SELECT vec_id, round(power(list_distance({_E}, {_Q}), 2), 6) AS score FROM embeddings ORDER BY list_distance({_E}, {_Q}), vec_id LIMIT 10")
@@ -65,17 +70,61 @@ def ivf_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(q, 10, probes=8).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@op("vec_08_approximate_search")
+_GRAPHS: dict[tuple[str, str], hnsw.Hnsw] = {}
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> hnsw.Hnsw:
+    """The graph index of a folder's embeddings, built when first asked for in an application."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _GRAPHS:
+        _GRAPHS[at] = hnsw.Hnsw.build(table(spark, sf_dir, "embeddings"), scratch(spark), shard_rows=512)
+    return _GRAPHS[at]
+
+
+def _recall(spark: SparkSession, sf_dir: str, index: hnsw.Hnsw, rows: DataFrame, where: DataFrame | None = None) -> DataFrame:
+    """Of every 50th vector's 10 nearest among the rows, whether at least 0.95 are found, and whether nothing else is."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    got = index.search(queries, 10, where=where).select("query_id", "vec_id").withColumn("found", F.lit(1))
+    want = vectors.exact_many(rows, e.where("vec_id % 50 = 0"), 10).select("query_id", "vec_id").withColumn("wanted", F.lit(1))
+    allowed = rows.select("vec_id").withColumn("allowed", F.lit(1))
+    both = want.join(got, ["query_id", "vec_id"], "full").join(allowed, "vec_id", "left")
+    return both.agg((F.count_if(F.expr("wanted = 1 AND found = 1")) >= 0.95 * F.count("wanted")).alias("recall_reached"), (F.count_if(F.expr("found = 1 AND allowed IS NULL")) == 0).alias("none_else"))
+
+
+@op("vec_08_approximate_search", "SELECT TRUE AS recall_reached, TRUE AS none_else")
 def approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, q = _vecs(spark, sf_dir)
-    return vectors.InvertedFile.build(e, 8).search(q, 10, probes=3)
+    return _recall(spark, sf_dir, _graph(spark, sf_dir), table(spark, sf_dir, "embeddings"))
+
 
+@op("vec_08_filtered_graph_search", "SELECT TRUE AS recall_reached, TRUE AS none_else")
+def filtered_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = table(spark, sf_dir, "embeddings").where("label = 2")
+    return _recall(spark, sf_dir, _graph(spark, sf_dir), some, some.select("vec_id"))
+
+
+@op("vec_07_graph_insert_and_delete", "SELECT TRUE AS recall_reached, TRUE AS none_else")
+def graph_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph of half the rows, the rest inserted (live ids again, to no effect), every third deleted."""
+    e = table(spark, sf_dir, "embeddings")
+    index = hnsw.Hnsw.build(e.where("vec_id % 2 = 0"), scratch(spark), shard_rows=512).insert(e, "1", 512).delete(e.where("vec_id % 3 = 0").select("vec_id"))
+    return _recall(spark, sf_dir, index, e.where("vec_id % 3 != 0"))
 
-@op("vec_07_approximate_graph_contract")
-def graph_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The graph index's search contract (query, k, filter), served by the inverted file."""
+
+@op("vec_07a_graph_defaults", "SELECT * FROM (VALUES (64, 16), (767, 16), (768, 16), (1536, 32)) v(dim, m)")
+def graph_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(d, hnsw.default_m(d)) for d in (64, 767, 768, 1536)], "dim int, m int")
+
+
+@op("vec_16_collection", f"""
+WITH s AS (SELECT vec_id AS id, embedding, CASE WHEN vec_id % 4 = 0 THEN 77 ELSE label END AS label FROM embeddings WHERE vec_id NOT IN (0, 5))
+SELECT id, label, round(power(list_distance({_E}, {_Q}), 2), 6) AS score FROM s WHERE label = 77 ORDER BY list_distance({_E}, {_Q}), id LIMIT 8""")
+def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsert, delete and filtered search of records."""
     e, q = _vecs(spark, sf_dir)
-    return vectors.search(e, q, 5, vectors.InvertedFile.build(e, 8), probes=5, where=F.col("label") > 0)
+    rows = e.select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("int").alias("label"))
+    c = hnsw.Collection(rows).upsert(rows.where("id % 4 = 0").withColumn("label", F.lit(77))).delete(0, 5)
+    return c.search(q, 8, F.col("label") == 77).join(c.rows.select("id", "label"), "id").select("id", "label", F.round("score", 6).alias("score"))
 
 
 @op("vec_11_filtered", f"SELECT vec_id FROM embeddings WHERE label = 2 ORDER BY list_distance({_E}, {_Q}), vec_id LIMIT 5")
@@ -101,9 +150,13 @@ def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.checked(table(spark, sf_dir, "embeddings"), "embedding", 64).agg(F.count("embedding").alias("n"))
 
 
-@op("vec_15_text_embedding")
+@op("vec_15_text_embedding", "SELECT item_id, 32 AS dim, CASE WHEN len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm, 1.0::DOUBLE AS to_doubled FROM benchmark WHERE len(text) > 0")
 def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", vectors.hashed_embedding("text", 32).alias("embedding"))
+    """Embeddings have length 1, and a text said twice points where it did."""
+    b = table(spark, sf_dir, "benchmark").where("length(text) > 0")
+    v, twice = vectors.hashed_embedding("text", 32), vectors.hashed_embedding(F.concat("text", F.lit(" "), "text"), 32)
+    b = b.select("item_id", v.alias("v"), twice.alias("twice"))
+    return b.select("item_id", F.size("v").alias("dim"), F.round(vectors.norm("v"), 6).alias("norm"), F.round(vectors.cosine("v", "twice"), 6).alias("to_doubled"))
 
 
 _PAYLOAD = "concat('{\"type\":\"', event_type, '\",\"n\":', event_id, ',\"v\":', round(value, 3), ',\"odd\":', CASE WHEN event_id % 2 = 1 THEN 'true' ELSE 'false' END, ',\"at\":{\"lat\":', event_id % 60, ',\"lon\":', event_id % 90, '}}')"
@@ -179,9 +232,25 @@ def _bm25(terms: list[str], phrases: list[str], where: str) -> str:
 SELECT doc_id, round(({' + '.join(parts)})::DOUBLE, 6) AS score FROM d, c WHERE {where} ORDER BY score DESC, doc_id"""
 
 
+_INDEXES: dict[tuple[str, str], fulltext.TextIndex] = {}
+
+
+def _text_index(spark: SparkSession, sf_dir: str) -> fulltext.TextIndex:
+    """The text index of a folder's documents, built when first asked for in an application."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _INDEXES:
+        _INDEXES[at] = fulltext.TextIndex.build(table(spark, sf_dir, "documents"), "doc_id", "text", scratch(spark))
+    return _INDEXES[at]
+
+
+@op("txt_06_bm25_scan", _bm25(["ther", "sing"], [], "list_has_any(w, ['ther', 'sing'])") + " LIMIT 20")
+def bm25_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", "ther sing", 20)
+
+
 @op("txt_06_bm25", _bm25(["ther", "sing"], [], "list_has_any(w, ['ther', 'sing'])") + " LIMIT 20")
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", "ther sing", 20)
+    return _text_index(spark, sf_dir).search("ther sing", 20)
 
 
 @op("txt_07_average_length", f"SELECT round(greatest(1.0, sum(len(w)) / count(*)), 6) AS mean FROM {_D} WHERE len(w) > 0")
@@ -192,14 +261,14 @@ def average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @op("txt_08_search_with_phrase", _bm25(["to", "the", "and"], ["to the"], "contains(' ' || array_to_string(w, ' ') || ' ', ' to the ') AND list_contains(w, 'and') AND NOT list_contains(w, 'idiot')") + " LIMIT 10")
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", '"to the" and', 10, "all", "idiot")
+    return _text_index(spark, sf_dir).search('"to the" and', 10, "all", "idiot")
 
 
 @op("hyb_01_hybrid", f"""WITH t AS ({_bm25(['the', 'sing'], [], "list_has_any(w, ['the', 'sing'])")} LIMIT 50)
 SELECT doc_id, round(power(list_distance({_E}, {_Q}), 2), 6) AS vector_score, score AS text_score FROM t JOIN embeddings ON vec_id = doc_id ORDER BY vector_score, text_score DESC, doc_id LIMIT 10""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, q = _vecs(spark, sf_dir)
-    return hybrid.search(table(spark, sf_dir, "documents"), e, "the sing", q, 10, 50)
+    return hybrid.search(_text_index(spark, sf_dir), e, "the sing", q, 10, 50)
 
 
 _BOX = "(SELECT vec_id, list_extract({e}, 1) AS x0, list_extract({e}, 1) + 0.05 AS x1, list_extract({e}, 2) AS y0, list_extract({e}, 2) + 0.05 AS y1 FROM embeddings)".format(e=_E)

@@ -10,7 +10,13 @@ from sluice.plans import dialect
 from sluice.plans.registry import op, sql_op
 from sluice.sources.tables import register, table
 
-sql_op("srt_01_order_by", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY seg ASC NULLS FIRST, c_acctbal DESC NULLS LAST, c_custkey) AS BIGINT) AS place FROM (SELECT c_custkey, c_acctbal, nullif(c_mktsegment, 'BUILDING') AS seg FROM customer)")
+@op("srt_01_order_by", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY seg ASC NULLS FIRST, c_acctbal DESC NULLS LAST, c_custkey) AS BIGINT) AS place FROM (SELECT c_custkey, c_acctbal, nullif(c_mktsegment, 'BUILDING') AS seg FROM customer)")
+def order_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in an order of mixed directions with nulls at either end, without a single task."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.expr("nullif(c_mktsegment, 'BUILDING')").alias("seg"))
+    return sorting.global_row_number(c, [F.col("seg").asc_nulls_first(), F.col("c_acctbal").desc_nulls_last(), F.col("c_custkey").asc()], "place").select("c_custkey", "place")
+
+
 sql_op("srt_02_unprojected", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 sql_op("srt_03_limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 15 OFFSET 10")
 sql_op("srt_06_streaming_limit", "SELECT event_id FROM events ORDER BY event_id LIMIT 7 OFFSET 2")

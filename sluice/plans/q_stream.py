@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sluice.plans.registry import op
 from sluice.session import scratch
-from sluice.sources import files
 from sluice.sources.tables import table
 from sluice.streaming import changefeed
 
@@ -15,8 +14,7 @@ from sluice.streaming import changefeed
 @op("stm_01_lazy_pipeline", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY n_name")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").where("c_acctbal > 0")
-    df = c.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
-    return spark.createDataFrame(list(files.stream_rows(df)), df.schema)
+    return c.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
 
 
 def _changes(spark: SparkSession, sf_dir: str, of: str = "TRUE") -> DataFrame:

@@ -49,7 +49,15 @@ _w("win_18_short_form", "min(o_totalprice)", over=f"{_W} ROWS 5 PRECEDING")
 _w("win_20_empty_frame", f"count(*) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND 2 PRECEDING) AS n, max(o_totalprice) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND 2 PRECEDING)")
 _i("win_21_two_keys", "row_number()", "PARTITION BY o_custkey % 30, o_orderstatus ORDER BY o_orderkey")
 sql_op("win_19_named", f"SELECT o_orderkey, CAST(rank() OVER w AS BIGINT) AS r, count(*) OVER w AS n {_O} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)")
-sql_op("win_22_before_order_by", f"SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS r {_O} ORDER BY o_orderkey DESC LIMIT 30")
+
+
+@op("win_22_before_order_by", f"SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS r {_O} ORDER BY o_orderkey DESC LIMIT 30")
+def before_order_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window over all rows, ranked by ranges, then another order and a limit."""
+    from sluice.operators import sorting
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return sorting.global_row_number(o, ["o_totalprice", "o_orderkey"], "r").select("o_orderkey", "r").orderBy(F.desc("o_orderkey")).limit(30)
 
 
 @op("win_13_lag_ignore_nulls", f"SELECT o_orderkey, lag(nullif(o_orderstatus, 'F'), 1 IGNORE NULLS) OVER ({_W}) AS v {_O}")

@@ -25,7 +25,7 @@ OPS: dict[str, Op] = {}
 
 #: Modules that register operators when imported.
 MODULES = ("flagship", "q_scan", "q_filter", "q_join", "q_agg", "q_window", "q_sort_set", "q_scalar",
-           "q_json", "q_dml", "q_proc", "q_search", "q_stream")
+           "q_json", "q_dml", "q_proc", "q_search", "q_stream", "q_more")
 
 
 def op(name: str, sql: str | None = None) -> Callable[[Query], Query]:

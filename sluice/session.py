@@ -29,9 +29,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder name in the cluster's shared folder (spark.checkpoint.dir); a local one only where that is unset."""
+    """A fresh folder name in the cluster's shared folder (spark.checkpoint.dir); a local one only where that is unset and all runs on one machine."""
+    import re
     import tempfile
     import uuid
 
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluice-")
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    at = at or tempfile.mkdtemp(prefix="sluice-")
     return f"{at.rstrip('/')}/sluice-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sqlite3
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.types import StructType
 
@@ -37,16 +38,30 @@ def stream_rows(df: DataFrame) -> Iterator[Row]:
     return df.toLocalIterator(prefetchPartitions=True)
 
 
-def import_sqlite(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table of an SQLite file that the driver can read: its declared columns and rows."""
+def import_sqlite(spark: SparkSession, path: str, name: str, rows_a_task: int = 200_000) -> DataFrame:
+    """A table of an SQLite file that driver and executors can read: its declared columns, rows in ranges of the row id."""
     kinds = {"INT": "bigint", "REAL": "double", "FLOA": "double", "DOUB": "double", "BLOB": "binary", "BOOL": "boolean"}
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
         quoted = '"' + name.replace('"', '""') + '"'
         cols = [(r[1], next((t for k, t in kinds.items() if k in (r[2] or "").upper()), "string")) for r in db.execute(f"PRAGMA table_info({quoted})")]
         if not cols:
             raise ValueError(f"no table {name} in {path}")
-        rows = [tuple(bool(v) if t == "boolean" and v is not None else v for v, (_, t) in zip(r, cols)) for r in db.execute(f"SELECT * FROM {quoted}")]
-    return spark.createDataFrame(rows, ", ".join(f"`{c}` {t}" for c, t in cols))
+        least, most = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted}").fetchone()
+    least, most = least or 0, most or 0
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in b["id"].tolist():
+                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+                    rows = db.execute(f"SELECT * FROM {quoted} WHERE rowid >= ? AND rowid < ?", (lo, lo + rows_a_task)).fetchall()
+                got = pd.DataFrame(rows, columns=[c for c, _ in cols], dtype=object)
+                for c, t in cols:
+                    if t == "boolean":
+                        got[c] = got[c].map(lambda v: None if v is None else bool(v))
+                yield got
+
+    ranges = spark.range(least, most + 1, rows_a_task)
+    return ranges.repartition(max(1, (most - least) // rows_a_task + 1)).mapInPandas(read, ", ".join(f"`{c}` {t}" for c, t in cols))
 
 
 def import_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, **options: str) -> DataFrame:

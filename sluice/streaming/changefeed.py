@@ -26,6 +26,11 @@ def tail(spark: SparkSession, feed: str, after: int = -1, files_per_trigger: int
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(feed).where(F.col("sequence") > after)
 
 
+def messages(changes: DataFrame, data: list[str]) -> DataFrame:
+    """Changes as server-sent events: id, event and the named columns as JSON."""
+    return changes.select(F.format_string("id: %s\nevent: %s\ndata: %s\n\n", F.col("sequence").cast("string"), "operation", F.to_json(F.struct(*data))).alias("message"))
+
+
 def _last(changes: DataFrame) -> DataFrame:
     rest = F.struct("sequence", "operation", "payload", "ts")
     return changes.groupBy("id").agg(F.max_by(rest, "sequence").alias("r")).select("r.sequence", "r.operation", "id", "r.payload", "r.ts")

@@ -128,6 +128,58 @@ def test_sqlite_import(spark, tmp_path):
     assert got(files.import_sqlite(spark, at, "t")) == [(1, "a", 0.5), (2, None, None)]
 
 
+def test_rows_are_streamed(spark):
+    df = spark.range(1000).repartition(7)
+    rows = files.stream_rows(df)
+    assert 0 <= next(rows).id < 1000 and len(list(rows)) == 999
+
+
+def test_global_row_number_of_mixed_directions(spark):
+    from sluice.operators import sorting
+
+    d = spark.createDataFrame([(i, None if i % 5 == 0 else i % 3) for i in range(60)], "id int, v int").repartition(6)
+    r = sorting.global_row_number(d, [F.col("v").desc_nulls_first(), F.col("id").asc()], "place").orderBy("place").collect()
+    want = sorted(((i, None if i % 5 == 0 else i % 3) for i in range(60)), key=lambda x: (x[1] is not None, -(x[1] or 0), x[0]))
+    assert [(x.id, x.v) for x in r] == want and [x.place for x in r] == list(range(1, 61))
+
+
+def test_programs(spark):
+    from sluice.operators.plw import Program, Raised
+
+    run = lambda text, **v: Program(spark, text).run(**v)
+    assert run("BEGIN RETURN a + 1; END;", a=2).value == 3
+    assert run("DECLARE x INT := 1; BEGIN WHILE x < 20 LOOP x := x * 2; END LOOP; END").values["x"] == 32
+    assert run("DECLARE s STRING; BEGIN s := 'it''s; END LOOP'; -- not; this\n END;").values["s"] == "it's; END LOOP"
+    with pytest.raises(Raised) as e:
+        run("BEGIN RAISE EXCEPTION 'no'; END;")
+    assert (e.value.state, e.value.message) == ("P0001", "no")
+    for bad in ("BEGIN x := 1 END;", "BEGIN LOOP END;", "BEGIN EXIT; END;", "BEGIN IF true THEN END;"):
+        with pytest.raises(Raised) as e:
+            run(bad)
+        assert e.value.state == "42601"
+    with pytest.raises(Raised) as e:
+        Program(spark, "BEGIN CALL nobody(); END;").run()
+    assert e.value.state == "42883"
+
+
+def test_graph_index():
+    import numpy as np
+
+    from sluice.operators.hnsw import Graph
+
+    x = np.random.default_rng(1).normal(size=(600, 16))
+    g, ids = Graph.load(Graph(x, 8, 60).dump(np.arange(600)))
+    hit = 0
+    for q in range(0, 600, 20):
+        d = ((x - x[q]) ** 2).sum(1)
+        hit += len({i for _, i in g.search(x[q], 10, 60)} & set(np.argsort(d)[:10].tolist()))
+    assert hit / 300 > 0.95
+    few = np.zeros(600, bool)
+    few[[3, 500]] = True
+    assert {i for _, i in g.search(x[0], 5, 20, few)} == {3, 500} and Graph(x[:0]).search(x[0], 3) == []
+    assert [i for _, i in Graph(x[:1]).search(x[0], 3)] == [0]
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "vec_id int, embedding array<float>")
     assert [tuple(r) for r in v.select(vectors.cosine("embedding", [1.0, 0.0]), vectors.l2("embedding", [0.0, 0.0])).collect()] == [(0.0, 0.0), (0.6, 5.0)]
