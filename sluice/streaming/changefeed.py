@@ -48,12 +48,19 @@ def materialise(spark: SparkSession, feed: str, state: str, checkpoint: str, on_
         if before:
             changes = changes.unionByName(spark.read.schema(SCHEMA).parquet(f"{state}/{max(before)}"))
         _last(changes).write.mode("overwrite").parquet(f"{state}/{n}")
+        for v in before[:-1]:  # the one before stays for those who read it
+            _delete(spark, f"{state}/{v}")
         if on_batch:
             on_batch(batch, n)
 
     return tail(spark, feed).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def versions(spark: SparkSession, state: str) -> list[int]:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(state)
