@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass holds; a longer single document is a pass of its own.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 2 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -128,16 +128,48 @@ _LOWER[65:91] += 32
 
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
-_pows: dict[int, np.ndarray] = {}
+_MASK = (1 << 64) - 1
+#: Bytes that are summed at once.
+_BLOCK = 1 << 16
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    have = _pows.get(base)
-    if have is None or len(have) < n:
-        p = np.full(max(n, 1 << 16), base, dtype=U64)
-        p[0] = 1
-        _pows[base] = have = np.cumprod(p, dtype=U64)
-    return have[:n]
+    p = np.full(n, base, dtype=U64)
+    p[:1] = 1
+    return np.cumprod(p, dtype=U64)
+
+
+_LOW, _LOW_INV = _powers(_P, _BLOCK), _powers(_PINV, _BLOCK)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span, wherever it lies; starts and ends are each in order.
+
+    Differences of prefix sums of (byte + 1) P^i, divided by P^start. The sums are made block by block, so
+    little more than the spans is held.
+    """
+    if not len(start):
+        return np.zeros(0, U64)
+    sums = (np.zeros(len(start), U64), np.zeros(len(start), U64))
+    carry, high, step = 0, 1, pow(_P, _BLOCK, 1 << 64)
+    x = np.empty(min(_BLOCK, len(data)) + 1, U64)
+    x[0] = 0
+    for lo in range(0, len(data), _BLOCK):
+        n = min(_BLOCK, len(data) - lo)
+        part = x[1 : n + 1]
+        np.add(data[lo : lo + n], U64(1), out=part, casting="unsafe")
+        part *= _LOW[:n]
+        np.cumsum(part, out=part)
+        for out, at in zip(sums, (start, end)):
+            i, j = np.searchsorted(at, [lo, lo + n], side="right")
+            if i < j:
+                out[i:j] = x[at[i:j] - lo] * U64(high) + U64(carry)
+        carry, high = (carry + int(part[-1]) * high) & _MASK, high * step & _MASK
+    back = _powers(pow(_PINV, _BLOCK, 1 << 64), len(data) // _BLOCK + 1)
+    h = sums[1] - sums[0]
+    h *= _LOW_INV[start & (_BLOCK - 1)]
+    h *= back[start >> 16]
+    return mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -168,13 +200,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, U64)
-        c = np.zeros(n + 1, U64)
-        np.cumsum((self.data.astype(U64) + U64(1)) * _powers(_P, n), out=c[1:])
-        h = (c[self.end] - c[self.start]) * _powers(_PINV, n + 1)[self.start]
-        return mix(h + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        return span_hashes(self.data, self.start, self.end)
 
 
 def words(arr: pa.Array, lower: bool = False, between: np.ndarray = _WS) -> Words:

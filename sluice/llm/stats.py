@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import U64, gram_starts, grams, mapped, mix, pieces, record, words, _P, _PINV, _powers
+from sluice.llm.common import U64, gram_starts, grams, mapped, mix, pieces, record, span_hashes, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_digits",
           "n_stops", "n_shouts", "n_pipes", "n_punct", "n_long", "n_short")
@@ -62,9 +62,7 @@ def measure(arr: pa.Array) -> list[np.ndarray]:
     hi = np.where(w.data[hi - 1] == 0x0A, hi - 1, hi) if len(lo) else hi
     has = np.searchsorted(w.start, hi) > np.searchsorted(w.start, lo) if len(lo) else np.zeros(0, bool)
     lo, hi, ldoc = lo[has], hi[has], ldoc[has]
-    c = np.zeros(len(w.data) + 1, U64)
-    np.cumsum((w.data.astype(U64) + U64(1)) * _powers(_P, len(w.data)), out=c[1:])
-    line = mix((c[hi] - c[lo]) * _powers(_PINV, len(w.data) + 1)[lo] + (hi - lo).astype(U64))
+    line = span_hashes(w.data, lo, hi)
     dup = per(ldoc[_same(line, ldoc, "first")])
     # 5-word windows that occur twice
     at = gram_starts(w.first, 5)

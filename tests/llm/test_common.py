@@ -19,6 +19,21 @@ def test_words_and_hashes_follow_the_texts():
         assert all((h[i] == h[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(len(flat)))
 
 
+def test_span_hashes_by_definition():
+    """The same in any place, over blocks too, and as the polynomial says."""
+    r = np.random.default_rng(1)
+    data = r.integers(0, 256, 300_000).astype(np.uint8)
+    data[200_000:200_100] = data[5:105]
+    start = np.array([0, 5, 65_500, 65_536, 131_072, 200_000, 299_990])
+    end = np.array([1, 105, 65_600, 65_540, 131_073, 200_100, 300_000])
+    got = common.span_hashes(data, start, np.sort(end)) if (np.sort(end) == end).all() else [common.span_hashes(data, start[i : i + 1], end[i : i + 1])[0] for i in range(7)]
+    for g, a, z in zip(got, start.tolist(), end.tolist()):
+        h = sum((int(data[i]) + 1) * pow(common._P, i - a, 1 << 64) for i in range(a, z)) % (1 << 64)
+        want = common.mix(np.array([(h + (z - a) * 0xD6E8FEB86659FD93) % (1 << 64)], np.uint64))[0]
+        assert g == want
+    assert got[1] == got[5] and len(common.span_hashes(data, start[:0], end[:0])) == 0
+
+
 def test_grams_stay_in_documents():
     w = common.words(pa.array(["a b c", "d", "", "a b c d"]))
     assert common.gram_starts(w.first, 3).tolist() == [0, 4, 5]
