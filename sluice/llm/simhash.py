@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import U64, cut, gram_starts, grams, mapped, mix, pieces, record, utf8, words
+from sluice.llm.common import U64, cut, gram_starts, grams, mapped, maybe_broadcast, mix, pieces, record, words
 from sluice.llm.graph import components
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -146,7 +146,12 @@ def hex16(fp: str = "fp"):
 
 #: Least hashes of a band and bands of a document: a pair of similarity 0.8 shares one at 0.9996, of 0.9 at 1 - 1e-8.
 BAND, BANDS = 5, 20
-_SETS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("sid", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+#: Rows (a few numbers each) of a table of keys up to which it is broadcast to where texts are read; beyond, the join shuffles the texts.
+BROADCAST_KEYS = 1_000_000
+#: Longs of a sketch (four bits of each least hash), and bits in which two may differ to be compared: sketches of a pair of
+#: similarity 0.8 differ in 40 +- 9 bits, of 0.6 in 80 +- 12.
+SKETCH, APART = -(-BAND * BANDS // 16), 70
+_SETS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("sid", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
 
 def shingles(arr: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,21 +175,26 @@ def _set_ids(g: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(c[first[1:]] - c[first[:-1]]).view(np.int64)
 
 
-def _bands(g: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashes of BAND least hashes, BANDS of them for each run g[first[i]:first[i+1]] (none empty)."""
+def _bands(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of BAND least hashes, BANDS of them for each run g[first[i]:first[i+1]] (none empty), and the runs' sketches."""
     draw = mix(np.arange(1, 2 * BAND * BANDS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)).reshape(2, BANDS, BAND)
-    out = np.zeros((len(first) - 1, BANDS), U64)
+    out, sketch = np.zeros((len(first) - 1, BANDS), U64), np.zeros((len(first) - 1, SKETCH), U64)
     for t in range(BANDS):
         for j in range(BAND):
             low = np.minimum.reduceat((g ^ draw[0, t, j]) * (draw[1, t, j] | U64(1)), first[:-1])
             out[:, t] = mix(out[:, t] * U64(0xC2B2AE3D27D4EB4F) + low)
-    return out.view(np.int64)
+            i = t * BAND + j
+            sketch[:, i // 16] |= (mix(low) & U64(15)) << U64(4 * (i % 16))
+    return out.view(np.int64), sketch.view(np.int64)
 
 
 def _pivots(members: DataFrame, group: str) -> DataFrame:
-    """(a, b): each member ``sid`` of a group with three of it, the same ones in whichever group they meet."""
-    few = members.groupBy(group).agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.min_by("sid", F.xxhash64("sid")).alias("mid")).where("lo != hi")
-    return members.join(few, group).select(F.col("sid").alias("a"), F.explode(F.array_distinct(F.array("lo", "hi", "mid"))).alias("b"))
+    """(a, b): members (sid, sketch) of a group with three of it, those that come first by three hashes, where the sketches aren't too far apart."""
+    one = F.struct("sid", "sketch")
+    few = members.groupBy(group).agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.array(*[F.min_by(one, F.xxhash64(F.lit(i), F.col("sid"))) for i in range(3)]).alias("pivots")).where("lo != hi")
+    apart = lambda p: sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(p["sketch"][i])) for i in range(1, SKETCH)), F.bit_count(F.col("sketch")[0].bitwiseXOR(p["sketch"][0])))
+    near = F.filter("pivots", lambda p: (p["sid"] != F.col("sid")) & (apart(p) <= APART))
+    return members.join(few.select(group, "pivots"), group).select(F.col("sid").alias("a"), F.explode(F.transform(near, lambda p: p["sid"])).alias("b"))
 
 
 def _pairs(links: DataFrame) -> DataFrame:
@@ -194,9 +204,9 @@ def _pairs(links: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
     """(doc_id, th, component): classes of the rows with an id (by it and xxhash64 of the text), linked by pairs whose sets of shingles have the Jaccard similarity.
 
-    Candidates are texts whose fingerprints link, and texts with a common band. Those of a group meet three of
-    it first; then, in a band's bucket that still has several classes, all outside the largest meet the members
-    of the others. So each pair with a common band is in one class or compared.
+    Candidates are texts whose fingerprints link, and texts with a common band. Those of such a group meet three of
+    it, the same ones in whichever groups they are; pairs whose sketches are too far apart for the similarity are
+    dropped before any set is read. A pair that has no pivot in common in any band is missed.
     """
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("th"))
 
@@ -207,15 +217,16 @@ def similar(docs: DataFrame, shingle: int, radius: int, similarity: float) -> Da
                 some = np.flatnonzero(np.diff(first))
                 off = np.zeros(p.num_rows + 1, np.int32)
                 off[some + 1] = BANDS
-                keys = _bands(g, np.append(first[some], len(g))).ravel() if len(some) else np.zeros(0, np.int64)
-                yield record(_SETS, p.column(0), p.column(2), _set_ids(g, first), fingerprints(p.column(1), shingle, 42), pa.ListArray.from_arrays(pa.array(np.cumsum(off, dtype=np.int32)), pa.array(keys)))
+                keys, sketch = _bands(g, np.append(first[some], len(g))) if len(some) else np.zeros((2, 0), np.int64)
+                lists = lambda wide, flat: pa.ListArray.from_arrays(pa.array(np.cumsum(off // BANDS * wide, dtype=np.int32)), pa.array(flat.ravel()))  # noqa: B023, E731
+                yield record(_SETS, p.column(0), p.column(2), _set_ids(g, first), fingerprints(p.column(1), shingle, 42), lists(BANDS, keys), lists(SKETCH, sketch))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in pieces(b, "text"):
                 g, first = shingles(p.column(1), shingle)
                 of = [np.unique(g[a:z]).view(np.int64) for a, z in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(of, pa.list_(pa.int64()))], ["sid", "s"])
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array([len(s) for s in of], pa.int32()), pa.array(of, pa.list_(pa.int64()))], ["sid", "n", "s"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,34 +238,29 @@ def similar(docs: DataFrame, shingle: int, radius: int, similarity: float) -> Da
                 on.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
             yield b.select([0, 1]).filter(pa.array(on, pa.bool_()))
 
-    rows = cut(mapped(docs, ["doc_id", "text", "th"], signed, "doc_id bigint, th bigint, sid bigint, fp bigint, keys array<bigint>"))
+    rows = cut(mapped(docs, ["doc_id", "text", "th"], signed, "doc_id bigint, th bigint, sid bigint, fp bigint, keys array<bigint>, sketch array<bigint>"))
     one = F.min(F.struct("doc_id", "th")).alias("least")
-    classes = cut(rows.groupBy("sid").agg(one, F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    banded = classes.select("sid", F.posexplode("keys").alias("t", "key")).select("sid", F.xxhash64("t", "key").alias("k"))
-    several = banded.groupBy("k").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo != hi").select("k")
-    shared = cut(banded.join(several, "k"))
+    classes = cut(rows.groupBy("sid").agg(one, F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).where("size(keys) > 0"))
+    banded = classes.select("sid", "sketch", F.posexplode("keys").alias("t", "key")).select("sid", "sketch", F.xxhash64("t", "key").alias("k"))
     near_fp = linked(classes.select("fp").distinct(), radius)
-    by_fp = classes.join(near_fp, F.col("fp") == F.col("node"), "left").select("sid", F.coalesce("component", "fp").alias("f"))
-    links = cut(_pairs(_pivots(shared, "k").union(_pivots(by_fp, "f"))))
-    wanted = links.select(F.col("a").alias("sid")).union(links.select("b")).union(shared.select("sid")).distinct()
-    wanted = wanted.join(classes.select("sid", "least.*"), "sid")
-    texts = docs.join(wanted, ["doc_id", "th"]).select("sid", "text").dropDuplicates(["sid"])
-    have = cut(mapped(texts, ["sid", "text"], sets, "sid bigint, s array<bigint>"))
+    by_fp = classes.join(near_fp, F.col("fp") == F.col("node"), "left").select("sid", "sketch", F.coalesce("component", "fp").alias("f"))
+    links = cut(_pairs(_pivots(banded, "k").union(_pivots(by_fp, "f"))))
+    wanted = links.select(F.col("a").alias("sid")).union(links.select("b")).distinct()
+    wanted = cut(wanted.join(classes.select("sid", "least.*"), "sid"))
+    texts = docs.join(maybe_broadcast(wanted, wanted.count(), BROADCAST_KEYS), ["doc_id", "th"]).select("sid", "text")
+    if not rows.groupBy("doc_id", "th").count().where("count > 1").isEmpty():  # rows alike: one of them will do
+        texts = texts.dropDuplicates(["sid"])
+    have = cut(mapped(texts, ["sid", "text"], sets, "sid bigint, n int, s array<bigint>"))
+
+    def side(x: str, *cols: str) -> DataFrame:
+        return have.select(F.col("sid").alias(x), *[F.col(c).alias(c + x) for c in cols])
 
     def near(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(have.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
-        return both.select("a", "b", "sa", "sb").mapInArrow(compared, "a bigint, b bigint")
-
-    linked_ = cut(near(links))
-    first = cut(components(linked_))
-    labelled = shared.join(first, F.col("sid") == F.col("node"), "left").select("k", "sid", F.coalesce("component", "sid").alias("c"))
-    mixed = labelled.groupBy("k", "c").agg(F.count("*").alias("n")).groupBy("k").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main")).where("parts > 1")
-    mixed = cut(labelled.join(mixed.select("k", "main"), "k"))
-    rest = mixed.where("c != main").select("k", F.col("sid").alias("a"), F.col("c").alias("ca"))
-    cross = _pairs(rest.join(mixed.select("k", F.col("sid").alias("b"), F.col("c").alias("cb")), "k").where("ca != cb").select("a", "b"))
-    cross = cut(near(cross.join(links, ["a", "b"], "left_anti")))
-    if not cross.isEmpty():
-        first = cut(components(linked_.union(cross)))
+        """Pairs of which the smaller set is not too small, then those whose sets are similar."""
+        sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
+        return sized.join(side("a", "s"), "a").join(side("b", "s"), "b").select("a", "b", "sa", "sb").mapInArrow(compared, "a bigint, b bigint")
+
+    first = cut(components(near(links)))
     return rows.select("doc_id", "th", "sid").join(first, F.col("sid") == F.col("node"), "left").select("doc_id", "th", F.coalesce("component", "sid").alias("component"))
 
 
@@ -268,9 +274,13 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 5, similarity: flo
     """
     groups = cut(similar(docs, shingle, radius, similarity))
     kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*")
-    alike = groups.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th")
-    kept = cut(kept.join(alike.withColumn("again", F.lit(True)), ["doc_id", "th"], "left"))
+    alike = groups.groupBy("doc_id", "th").count()
+    out = cut(alike.join(kept.withColumn("kept", F.lit(True)), ["doc_id", "th"], "left").where("kept IS NULL OR count > 1"))  # all but those whose one row stays
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
-    found = rows.join(kept, (F.col("id") == F.col("doc_id")) & (F.col("h") == F.col("th")))
-    out = found.where("again IS NULL").select("row").union(rows.where("id IS NULL").select("row"))
-    return out.union(found.where("again").dropDuplicates(["id", "h"]).select("row")).select("row.*")
+    key = (F.col("id") == F.col("doc_id")) & (F.col("h") == F.col("th"))
+    stay = rows.join(maybe_broadcast(out.select("doc_id", "th"), out.count(), BROADCAST_KEYS), key, "left_anti").select("row")
+    again = out.where("kept").select("doc_id", "th")
+    if again.isEmpty():
+        return stay.select("row.*")
+    one = rows.join(maybe_broadcast(again, again.count(), BROADCAST_KEYS), key, "left_semi").dropDuplicates(["id", "h"]).select("row")
+    return stay.union(one).select("row.*")

@@ -128,3 +128,15 @@ def test_mixing_takes_whole_documents(spark, frame, prose):
     for (d, t), n in got.items():
         assert any(abs(x - n) <= 0.5 for x in want[(d, len(re.findall(r"\S+", t)))])
     assert packing.pack(frame(rows)).count() == 90
+
+
+def test_the_mix_is_that_of_its_sql(spark, sf):
+    import duckdb
+
+    from sluice.llm.queries import ORACLE_SQL, QUERIES
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    cols = ["doc_id", "size", "source_size", "target", "taken"]
+    plain = lambda rows: Counter(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
+    assert plain(QUERIES["op5_mix_sources"](spark, sf).select(*cols).collect()) == plain(c.sql(ORACLE_SQL["op5_mix_sources"]).project(",".join(cols)).fetchall())
