@@ -26,3 +26,12 @@ def offset_ignoring_nulls(kind: str, col: str, n: int, partition: list[str], ord
 def running(partition: list[str], order: list[str]) -> WindowSpec:
     """ROWS UNBOUNDED PRECEDING."""
     return Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def remaining(partition: list[str], order: list[str]) -> WindowSpec:
+    """RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING, for aggregates that don't hang on the order of rows.
+
+    Spark reads such a frame from a partition's start again for each row. The rows that don't come before this one
+    are those up to it and its peers in the opposite order (nulls at the opposite end), which takes one pass.
+    """
+    return Window.partitionBy(*partition).orderBy(*[F.col(c).desc_nulls_last() for c in order]).rangeBetween(Window.unboundedPreceding, Window.currentRow)

@@ -43,7 +43,6 @@ _w("win_13_nth_ignore_nulls", f"nth_value(nullif(o_orderstatus, 'F'), 2 IGNORE N
 _w("win_14_default_frame", "count(*)", over="PARTITION BY o_custkey % 20 ORDER BY o_orderpriority")
 _w("win_14_whole_partition", "count(*)", over="PARTITION BY o_custkey")
 _w("win_15_rows", "max(o_totalprice)", over=f"{_W} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING")
-_w("win_16_range", "count(*)", over="PARTITION BY o_custkey % 20 ORDER BY o_orderpriority RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING")
 _w("win_16_range_offset", "count(*)", over="PARTITION BY o_custkey % 20 ORDER BY o_custkey RANGE BETWEEN 40 PRECEDING AND 20 FOLLOWING")
 _w("win_18_short_form", "min(o_totalprice)", over=f"{_W} ROWS 5 PRECEDING")
 _w("win_20_empty_frame", f"count(*) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND 2 PRECEDING) AS n, max(o_totalprice) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND 2 PRECEDING)")
@@ -70,3 +69,9 @@ def lag_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumn("p", F.col("o_custkey") % 20)
     return windows.groups_frame(o, ["p"], ["o_orderpriority"], -1, 0, n=(F.count, F.lit(1))).select("o_orderkey", "n")
+
+
+@op("win_16_range", f"SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderpriority RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v {_O}")
+def range_following(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumn("p", F.col("o_custkey") % 20)
+    return o.select("o_orderkey", F.count(F.lit(1)).over(windows.remaining(["p"], ["o_orderpriority"])).alias("v"))
