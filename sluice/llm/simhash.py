@@ -12,7 +12,8 @@ in one component or in such a comparison, so no link between groups is lost.
 
 Fingerprints within a radius say little about pairs of a shingle similarity of 0.8: most differ in more bits.
 Where one document of a group is kept, groups are links of exact Jaccard similarity: candidates come from the
-fingerprints and from bands of least hashes, and each pair is compared by its sets of shingles.
+fingerprints and from bands of least hashes, and each pair is compared by its sets of shingles: those of a group's
+members with its pivots, then, as above, all pairs of a group that are not in one component yet.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import U64, cut, gram_starts, grams, mapped, maybe_broadcast, mix, pieces, record, words
@@ -148,10 +149,14 @@ def hex16(fp: str = "fp"):
 BAND, BANDS = 5, 20
 #: Rows (a few numbers each) of a table of keys up to which it is broadcast to where texts are read; beyond, the join shuffles the texts.
 BROADCAST_KEYS = 1_000_000
-#: Longs of a sketch (four bits of each least hash), and bits in which two may differ to be compared: sketches of a pair of
-#: similarity 0.8 differ in 40 +- 9 bits, of 0.6 in 80 +- 12.
-SKETCH, APART = -(-BAND * BANDS // 16), 70
-_SETS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("sid", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+#: Pairs that are compared in a block, on average.
+BLOCK_PAIRS = 4_000
+#: Longs of a sketch (four bits of each least hash), and in how many of the least hashes two may differ to be compared: those
+#: of a pair of similarity 0.8 differ in 18.8 +- 3.9, of 0.7 in 28 +- 4.5, of 0.6 in 37.5 +- 4.8.
+SKETCH, APART = -(-BAND * BANDS // 16), 33
+#: The same of finer sketches, which only texts get that three pivots leave: 75 +- 7.8 of 400 at 0.8, 112 +- 9 at 0.7, 131 +- 9.4 at 0.65.
+FINE, FINE_APART = 25, 104
+_SETS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
 
 def shingles(arr: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,6 +180,11 @@ def _set_ids(g: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(c[first[1:]] - c[first[:-1]]).view(np.int64)
 
 
+def _distinct(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many different values each text's shingles have."""
+    return np.fromiter((len(np.unique(g[a:z])) for a, z in zip(first[:-1].tolist(), first[1:].tolist())), np.int32, len(first) - 1)
+
+
 def _bands(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of BAND least hashes, BANDS of them for each run g[first[i]:first[i+1]] (none empty), and the runs' sketches."""
     draw = mix(np.arange(1, 2 * BAND * BANDS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)).reshape(2, BANDS, BAND)
@@ -188,13 +198,58 @@ def _bands(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out.view(np.int64), sketch.view(np.int64)
 
 
-def _pivots(members: DataFrame, group: str) -> DataFrame:
-    """(a, b): members (sid, sketch) of a group with three of it, those that come first by three hashes, where the sketches aren't too far apart."""
-    one = F.struct("sid", "sketch")
+def _fine(g: np.ndarray) -> np.ndarray:
+    """The finer sketch of a set of shingles."""
+    out = np.zeros(FINE, U64)
+    if len(g):
+        draw = mix(np.arange(1, 32 * FINE + 1, dtype=U64) * U64(0xA0761D6478BD642F))
+        for j in range(16 * FINE):
+            out[j // 16] |= (mix(((g ^ draw[2 * j]) * (draw[2 * j + 1] | U64(1))).min()) & U64(15)) << U64(4 * (j % 16))
+    return out.view(np.int64)
+
+
+def _pivots(members: DataFrame, group: str, similarity: float) -> DataFrame:
+    """(a, b): members (sid, n, sketch) of a group with three of it, those that come first by three hashes, where they can be similar."""
+    one = F.struct("sid", "n", "sketch")
     few = members.groupBy(group).agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.array(*[F.min_by(one, F.xxhash64(F.lit(i), F.col("sid"))) for i in range(3)]).alias("pivots")).where("lo != hi")
-    apart = lambda p: sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(p["sketch"][i])) for i in range(1, SKETCH)), F.bit_count(F.col("sketch")[0].bitwiseXOR(p["sketch"][0])))
-    near = F.filter("pivots", lambda p: (p["sid"] != F.col("sid")) & (apart(p) <= APART))
-    return members.join(few.select(group, "pivots"), group).select(F.col("sid").alias("a"), F.explode(F.transform(near, lambda p: p["sid"])).alias("b"))
+    met = members.join(few.select(group, "pivots"), group).select(one.alias("m"), "pivots")
+    near = F.filter("pivots", lambda p: (p["sid"] != F.col("m.sid")) & _may(p, F.col("m"), similarity))
+    return met.select(F.col("m.sid").alias("a"), F.explode(F.transform(near, lambda p: p["sid"])).alias("b"))
+
+
+def _apart(x: Column, y: Column, longs: int) -> Column:
+    """Of how many least hashes two sketches hold different bits."""
+    out = F.lit(0)
+    for i in range(longs):
+        d = x[i].bitwiseXOR(y[i])
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        out = out + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+    return out
+
+
+def _may(x: Column, y: Column, similarity: float) -> Column:
+    """Whether two members (sid, n, sketch) can have the similarity, by the sizes of their sets (for certain) and by their sketches."""
+    return (F.least(x["n"], y["n"]) >= similarity * F.greatest(x["n"], y["n"])) & (_apart(x["sketch"], y["sketch"], SKETCH) <= APART)
+
+
+def _mixed(members: DataFrame, group: str, component: DataFrame) -> DataFrame:
+    """(group, m, c, main): the members of groups that are in several components so far, theirs and the group's largest one."""
+    at = members.join(component, F.col("sid") == F.col("node"), "left").select(group, F.struct("sid", "n", "sketch").alias("m"), F.coalesce("component", "sid").alias("c"))
+    parts = at.groupBy(group, "c").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy(group).agg(F.count("*").alias("parts"), F.max_by("c", F.struct("size", "c")).alias("main")).where("parts > 1").select(group, "main")
+    return cut(at.join(mixed, group))
+
+
+def _rest(mixed: DataFrame, group: str, finer: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of members of a group that are in different components, but those that cannot be similar by their sketches and finer ones (sid, fine).
+
+    Of a group's largest component, members meet those outside it only; each pair outside it meets once.
+    """
+    mixed = mixed.join(finer.withColumnRenamed("sid", "id"), F.col("id") == F.col("m.sid")).select(group, "m", "fine", "c", "main")
+    x, y = (mixed.select(group, *[F.col(c).alias(c + i) for c in ("m", "fine", "c", "main")]) for i in "xy")
+    once = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("mainy")) | (F.col("mx.sid") < F.col("my.sid")))
+    may = _may(F.col("mx"), F.col("my"), similarity) & (_apart(F.col("finex"), F.col("finey"), FINE) <= FINE_APART)
+    return x.where("cx != mainx").join(y, group).where(once & may).select(F.col("mx.sid").alias("a"), F.col("my.sid").alias("b"))
 
 
 def _pairs(links: DataFrame) -> DataFrame:
@@ -204,9 +259,10 @@ def _pairs(links: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
     """(doc_id, th, component): classes of the rows with an id (by it and xxhash64 of the text), linked by pairs whose sets of shingles have the Jaccard similarity.
 
-    Candidates are texts whose fingerprints link, and texts with a common band. Those of such a group meet three of
-    it, the same ones in whichever groups they are; pairs whose sketches are too far apart for the similarity are
-    dropped before any set is read. A pair that has no pivot in common in any band is missed.
+    Candidates are texts whose fingerprints link, and texts with a common band. Those of such a group first meet three
+    of it, the same ones in whichever groups they are; then whatever of a group is still in another component than its
+    largest one meets all of the group that isn't in its own. Pairs in one component need no comparison. Pairs whose
+    set sizes or sketches are too far apart for the similarity are dropped before any set is read.
     """
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("th"))
 
@@ -219,49 +275,63 @@ def similar(docs: DataFrame, shingle: int, radius: int, similarity: float) -> Da
                 off[some + 1] = BANDS
                 keys, sketch = _bands(g, np.append(first[some], len(g))) if len(some) else np.zeros((2, 0), np.int64)
                 lists = lambda wide, flat: pa.ListArray.from_arrays(pa.array(np.cumsum(off // BANDS * wide, dtype=np.int32)), pa.array(flat.ravel()))  # noqa: B023, E731
-                yield record(_SETS, p.column(0), p.column(2), _set_ids(g, first), fingerprints(p.column(1), shingle, 42), lists(BANDS, keys), lists(SKETCH, sketch))
+                yield record(_SETS, p.column(0), p.column(2), _set_ids(g, first), _distinct(g, first), fingerprints(p.column(1), shingle, 42), lists(BANDS, keys), lists(SKETCH, sketch))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in pieces(b, "text"):
                 g, first = shingles(p.column(1), shingle)
                 of = [np.unique(g[a:z]).view(np.int64) for a, z in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([p.column(0), pa.array([len(s) for s in of], pa.int32()), pa.array(of, pa.list_(pa.int64()))], ["sid", "n", "s"])
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(of, pa.list_(pa.int64()))], ["sid", "s"])
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = b.column(2), b.column(3)
-            on = []
-            for i in range(b.num_rows):
-                u, v = x[i].values.to_numpy(), y[i].values.to_numpy()
-                both = len(np.intersect1d(u, v, assume_unique=True)) if min(len(u), len(v)) >= similarity * max(len(u), len(v)) else 0
-                on.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
-            yield b.select([0, 1]).filter(pa.array(on, pa.bool_()))
-
-    rows = cut(mapped(docs, ["doc_id", "text", "th"], signed, "doc_id bigint, th bigint, sid bigint, fp bigint, keys array<bigint>, sketch array<bigint>"))
+            for p in pieces(b, "text"):
+                g, first = shingles(p.column(1), shingle)
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array([_fine(g[a:z]) for a, z in zip(first[:-1], first[1:])], pa.list_(pa.int64()))], ["sid", "fine"])
+
+    def compared(pairs: pa.Table, have: pa.Table) -> pa.Table:
+        of = {i: x.values.to_numpy() for i, x in zip(have["sid"].to_pylist(), have["s"])}
+        on = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+            u, v = of[a], of[b]
+            both = len(np.intersect1d(u, v, assume_unique=True)) if min(len(u), len(v)) >= similarity * max(len(u), len(v)) else 0
+            on.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
+        return pairs.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
+
+    rows = cut(mapped(docs, ["doc_id", "text", "th"], signed, "doc_id bigint, th bigint, sid bigint, n int, fp bigint, keys array<bigint>, sketch array<bigint>"))
     one = F.min(F.struct("doc_id", "th")).alias("least")
-    classes = cut(rows.groupBy("sid").agg(one, F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).where("size(keys) > 0"))
-    banded = classes.select("sid", "sketch", F.posexplode("keys").alias("t", "key")).select("sid", "sketch", F.xxhash64("t", "key").alias("k"))
+    classes = cut(rows.groupBy("sid").agg(one, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).where("size(keys) > 0"))
+    banded = classes.select("sid", "n", "sketch", F.posexplode("keys").alias("t", "key")).select("sid", "n", "sketch", F.xxhash64("t", "key").alias("k"))
     near_fp = linked(classes.select("fp").distinct(), radius)
-    by_fp = classes.join(near_fp, F.col("fp") == F.col("node"), "left").select("sid", "sketch", F.coalesce("component", "fp").alias("f"))
-    links = cut(_pairs(_pivots(banded, "k").union(_pivots(by_fp, "f"))))
-    wanted = links.select(F.col("a").alias("sid")).union(links.select("b")).distinct()
-    wanted = cut(wanted.join(classes.select("sid", "least.*"), "sid"))
-    texts = docs.join(maybe_broadcast(wanted, wanted.count(), BROADCAST_KEYS), ["doc_id", "th"]).select("sid", "text")
-    if not rows.groupBy("doc_id", "th").count().where("count > 1").isEmpty():  # rows alike: one of them will do
-        texts = texts.dropDuplicates(["sid"])
-    have = cut(mapped(texts, ["sid", "text"], sets, "sid bigint, n int, s array<bigint>"))
-
-    def side(x: str, *cols: str) -> DataFrame:
-        return have.select(F.col("sid").alias(x), *[F.col(c).alias(c + x) for c in cols])
+    by_fp = classes.join(near_fp, F.col("fp") == F.col("node"), "left").select("sid", "n", "sketch", F.coalesce("component", "fp").alias("f"))
+    links = cut(_pairs(_pivots(banded, "k", similarity).union(_pivots(by_fp, "f", similarity))))
+    alike = not rows.groupBy("doc_id", "th").count().where("count > 1").isEmpty()
 
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs of which the smaller set is not too small, then those whose sets are similar."""
-        sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
-        return sized.join(side("a", "s"), "a").join(side("b", "s"), "b").select("a", "b", "sa", "sb").mapInArrow(compared, "a bigint, b bigint")
+    def read(sids: DataFrame, fn, schema: str) -> DataFrame:
+        """``fn`` over the texts of these, one row each."""
+        wanted = cut(sids.distinct().join(classes.select("sid", "least.*"), "sid"))
+        texts = docs.join(maybe_broadcast(wanted, wanted.count(), BROADCAST_KEYS), ["doc_id", "th"]).select("sid", "text")
+        return cut(mapped(texts.dropDuplicates(["sid"]) if alike else texts, ["sid", "text"], fn, schema))  # of rows alike, one will do
 
-    first = cut(components(near(links)))
-    return rows.select("doc_id", "th", "sid").join(first, F.col("sid") == F.col("node"), "left").select("doc_id", "th", F.coalesce("component", "sid").alias("component"))
+    def near(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose sets are similar; pairs are compared in blocks, to each of which a set goes once."""
+        have = read(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")), sets, "sid bigint, s array<bigint>")
+        n = int((pairs.count() / BLOCK_PAIRS) ** 0.5) + 1
+        at = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(n))
+        blocks = pairs.select((at("a") * n + at("b")).alias("block"), "a", "b")
+        need = blocks.select(F.col("block").alias("to"), F.explode(F.array("a", "b")).alias("sid")).distinct().join(have, "sid").select("to", "sid", "s")
+        return cut(blocks.groupBy("block").cogroup(need.groupBy("to")).applyInArrow(compared, "a bigint, b bigint"))
+
+    found = near(links)
+    groups = banded.select(F.struct(F.lit(0).alias("of"), F.col("k")).alias("g"), "sid", "n", "sketch").union(by_fp.select(F.struct(F.lit(1).alias("of"), F.col("f").alias("k")).alias("g"), "sid", "n", "sketch"))
+    mixed = _mixed(groups, "g", components(found))
+    finer = read(mixed.select("m.sid"), finely, "sid bigint, fine array<bigint>")
+    rest = cut(_pairs(_rest(mixed, "g", finer, similarity)).join(links, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        found = found.union(near(rest))
+    of = cut(components(found))
+    return rows.select("doc_id", "th", "sid").join(of, F.col("sid") == F.col("node"), "left").select("doc_id", "th", F.coalesce("component", "sid").alias("component"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 5, similarity: float = 0.8) -> DataFrame:

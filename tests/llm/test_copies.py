@@ -137,3 +137,31 @@ def test_one_is_kept_of_each_group_of_similar_shingles(spark, frame, prose):
     want = {i for i in range(len(rows)) if par[i] == i}
     assert len(want) < len(rows)
     assert {x.doc_id for x in simhash.keep_one(frame(rows)).collect()} == want
+
+
+def test_pairs_that_no_pivot_leads_to_are_found(frame, prose, monkeypatch):
+    """Whatever pivots miss, all pairs of a group that are in different components are compared."""
+    pivots = simhash._pivots
+    monkeypatch.setattr(simhash, "_pivots", lambda *a: pivots(*a).where("a % 7 = 0"))  # most links are not found by them
+    r, rows = random.Random(11), []
+    for base in range(8):
+        words = prose(900 + base, 120).split()
+        for k in range(20):
+            mine = list(words)
+            for _ in range(r.randrange(0, 4)):
+                mine[r.randrange(len(mine))] = f"edit{r.random()}"
+            rows.append((base * 100 + k, " ".join(mine), "s"))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t, _ in rows]
+    par = list(range(len(rows)))
+
+    def root(i):
+        while par[i] != i:
+            i = par[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                par[max(a, b)] = min(a, b)
+    assert {x.doc_id for x in simhash.keep_one(frame(rows)).collect()} == {rows[i][0] for i in range(len(rows)) if root(i) == i}
