@@ -148,7 +148,8 @@ def hex16(fp: str = "fp"):
 #: Least hashes of a band and bands of a document: a pair of similarity 0.8 shares one at 0.9996, of 0.9 at 1 - 1e-8.
 BAND, BANDS = 5, 20
 #: Rows (a few numbers each) of a table of keys up to which it is broadcast to where texts are read; beyond, the join shuffles the texts.
-BROADCAST_KEYS = 1_000_000
+#: A million such rows held 310 MB of the driver's heap, without them it was 125.
+BROADCAST_KEYS = 200_000
 #: Pairs that are compared in a block, on average.
 BLOCK_PAIRS = 4_000
 #: Longs of a sketch (four bits of each least hash), and in how many of the least hashes two may differ to be compared: those

@@ -74,3 +74,11 @@ def test_counts_by_definition(odd, prose):
         hit = {p for k, g in enumerate(grams) if grams.count(g) > 1 for p in range(k, k + 5)}
         want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit), len(w) - (len(w) - len(set(w))))
         assert tuple(int(got[c][i]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct")) == want
+
+
+def test_tables_of_half_a_million_keys_stay_off_the_driver(spark):
+    from sluice.llm import passages, simhash
+
+    for limit in (simhash.BROADCAST_KEYS, passages.BROADCAST_COPIES):
+        hinted = lambda n: "broadcast" in common.maybe_broadcast(spark.range(1), n, limit)._jdf.queryExecution().logical().toString().lower()  # noqa: B023, E731
+        assert hinted(1000) and not hinted(500_000)
