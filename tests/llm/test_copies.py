@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sluice.llm import graph, passages, simhash
+from sluice.llm import common, graph, passages, simhash
 
 
 def groups(fps, radius):
@@ -165,3 +167,49 @@ def test_pairs_that_no_pivot_leads_to_are_found(frame, prose, monkeypatch):
                 a, b = root(i), root(j)
                 par[max(a, b)] = min(a, b)
     assert {x.doc_id for x in simhash.keep_one(frame(rows)).collect()} == {rows[i][0] for i in range(len(rows)) if root(i) == i}
+
+
+def by_all_pairs(texts, min_words=passages.MIN_WORDS):
+    """(doc, words) of the passages that chains of all seeds make of all pairs of texts."""
+    k = passages.K
+    hashes = [common.words(pa.array([t]), lower=True).hashes().view(np.int64) for t in texts]
+    own = []
+    for t in texts:
+        at = {}
+        _, pos, g, _ = passages.seeds(pa.array([t]), k, passages.WINDOW)
+        for x, v in sorted(zip(pos.tolist(), g.tolist())):
+            at.setdefault(v, []).append(x)
+        own.append(at)
+    for d in range(len(texts)):
+        for p in range(d):
+            met = sorted((x, own[p][v][0]) for v in own[d].keys() & own[p].keys() for x in own[d][v])
+            if len(met) < 2:
+                continue
+            rx, ry, rn = passages.runs(*np.array(met).T, k, passages.WINDOW)
+            for c in passages.chains(rx, ry, rn, k):
+                x, y, n = rx[c], ry[c], rn[c]
+                if min(x[-1] + n[-1] - x[0], y[-1] + n[-1] - y[0]) < min_words - passages.PAD or 3 * n.sum() < min_words:
+                    continue
+                a, b = ([h[i:j].tolist() for i, j in passages.gap_spans(s, n)] for h, s in ((hashes[d], x), (hashes[p], y)))
+                if found := passages.align(x, y, n, a, b, min_words, passages.SIMILARITY):
+                    yield d, set(range(found[0], found[1]))
+
+
+def test_passages_are_found_wherever_their_seeds_lead(spark, frame, prose):
+    """Edited passages, pieces of which many other documents have, too short to be passages: all that pairs by brute force cover is covered."""
+    r, texts = random.Random(12), []
+    edited = lambda w: [x if r.random() > 0.06 else f"new{r.randrange(10**6)}" for x in w]
+    parts = [prose(2000 + i, 90).split() for i in range(6)]
+    for i, p in enumerate(parts):
+        for j in range(12):
+            at = 30 * (j % 3)
+            texts.append(" ".join([prose(2100 + 20 * i + j, 20), *p[at : at + 30], prose(2400 + 20 * i + j, 20)]))
+    first = len(texts)
+    texts += [" ".join([prose(3000 + n, 20), *edited(p), prose(3100 + n, 20), *edited(r.choice(parts)), prose(3200 + n, 20)]) for n, p in enumerate(parts * 4)]
+    got = {}
+    for x in passages.repeated_passages(frame([(i, t, "a") for i, t in enumerate(texts)])).collect():
+        got.setdefault(x.doc_id, set()).update(range(x.start, x.stop))
+    want = list(by_all_pairs(texts))
+    assert len({d for d, _ in want}) > 15 and min(got) >= first
+    for d, w in want:
+        assert len(w - got.get(d, set())) <= 5, (d, len(w), len(w - got.get(d, set())))  # words beyond the outer seeds
