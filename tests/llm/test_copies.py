@@ -31,6 +31,19 @@ def test_components_of_chains_cycles_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_in_one_task_are_those_of_stars(spark, monkeypatch):
+    r = random.Random(5)
+    edges = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1200)] + [(None, 5), (7, 7)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    spark.sparkContext.setJobGroup("components", "")
+    one = sorted(map(tuple, graph.components(df).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    assert one == sorted(map(tuple, graph.components(df).collect())) and len(one) > 500
+    assert jobs <= 10, jobs  # what the driver holds grows with the queries
+
+
 def test_masks_cover_every_pair_within_the_radius():
     r = random.Random(2)
     for radius in (2, 4):
