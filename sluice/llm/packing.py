@@ -29,6 +29,8 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BROADCAST_ROWS = 1_000_000
 #: Bytes of tokenized units that a worker remembers, about, and characters of the longest one that it does.
 CACHE, LONGEST = 96 << 20, 64
+#: Characters up to which the quicker encoder reads a text whole; in longer ones, long runs of spaces would be too much for its pattern.
+AT_ONCE = 1 << 16
 
 
 def vocabulary() -> str:
@@ -53,7 +55,7 @@ def _byte_ranks(path: str) -> dict[bytes, int] | None:
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids, unit by unit with a cache.
+    """Texts to little-endian unsigned 32-bit ids, whole, or long ones unit by unit with a cache.
 
     A unit is a run of non-space with the space before it, or a run of spaces; the tokenizer's own
     pattern never crosses these, so the units' ids joined are the text's. Ids are those of the tokenizer
@@ -78,7 +80,8 @@ class Encoder:
         ranks = _byte_ranks(path) if plain else None
         self.whole = None
         if ranks:
-            self.ids = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if k.decode("utf-8", "replace") not in added}, special_tokens={}).encode_ordinary
+            quick = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if k.decode("utf-8", "replace") not in added}, special_tokens={})
+            self.ids = lambda x: quick.encode_to_numpy(x, disallowed_special=())
         else:  # texts as they are
             t = Tokenizer.from_file(path)
             self.whole = lambda x: t.encode(x, add_special_tokens=False).ids
@@ -94,10 +97,20 @@ class Encoder:
         return [u for x in self.split(text) for u in ([x] if x in self.special else self.unit(x))]
 
     def encode(self, texts: list[str], chars: int = 1 << 20) -> Iterator[bytes]:
+        """Each text's ids."""
+        for t in texts:
+            if self.whole:
+                yield np.array(self.whole(t), dtype="<u4").tobytes()
+            elif len(t) > AT_ONCE:
+                yield from self.by_units([t], chars)
+            elif any(x in t for x in self.special):
+                yield b"".join([self.special.get(x) or self.ids(x).astype("<u4", copy=False).tobytes() for x in self.split(t)])
+            else:
+                yield self.ids(t).astype("<u4", copy=False).tobytes()
+
+    def by_units(self, texts: list[str], chars: int = 1 << 20) -> Iterator[bytes]:
+        """Each text's ids, unit by unit."""
         as_bytes = lambda ids: np.array(ids, dtype="<u4").tobytes()
-        if self.whole:
-            yield from (as_bytes(self.whole(t)) for t in texts)
-            return
         lo = 0
         while lo < len(texts):
             hi, n = lo + 1, len(texts[lo])

@@ -99,3 +99,15 @@ def test_the_cache_of_units_is_bounded(monkeypatch):
         texts = [" ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(300)) + "x" * 500]
         assert list(e.encode(texts, 1000)) == list(whole.encode(texts))
         assert e.held < 1 << 18 and all(len(u) <= packing.LONGEST for u in e.seen)
+
+
+def test_short_texts_are_read_whole_and_long_ones_by_units():
+    """The same ids either way; only texts that are too long for one pass fill the cache."""
+    from sluice.llm import packing
+
+    e = packing.Encoder(packing.vocabulary())
+    short = ["", " ", "it's  a\n\n b　c\xa0", "\U0001f600 \x85x", "<|endoftext|> a<|endoftext|>", " " * 65000 + "x", "ab" * 30000]
+    long = [" " * (1 << 20) + "x", "some words " * 7000]
+    got = list(e.encode(short))
+    assert not e.seen and got == list(packing.Encoder(packing.vocabulary()).by_units(short))
+    assert list(e.encode(long)) == list(packing.Encoder(packing.vocabulary()).by_units(long)) and e.seen
