@@ -226,3 +226,38 @@ def test_passages_are_found_wherever_their_seeds_lead(spark, frame, prose):
     assert len({d for d, _ in want}) > 15 and min(got) >= first
     for d, w in want:
         assert len(w - got.get(d, set())) <= 5, (d, len(w), len(w - got.get(d, set())))  # words beyond the outer seeds
+
+
+def test_lists_of_seeds_meet_as_their_rows_do():
+    """A seed meets the first place where the other document has it, in each pair of documents by itself."""
+    rng = np.random.default_rng(5)
+    rows = [(d, p, rng.integers(0, 9, rng.integers(0, 7)).tolist(), rng.integers(0, 9, rng.integers(0, 7)).tolist()) for d in range(9) for p in range(d)]
+    rows = [(d, p, g, rng.permutation(len(g)).tolist(), h, rng.permutation(len(h)).tolist()) for d, p, g, h in rows]
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), longs, ints, longs, ints))], ["doc", "pdoc", "g", "x", "pg", "y"])
+    want = [(d, p, x, min(y for v, y in zip(h, ys) if v == u)) for d, p, g, xs, h, ys in rows for u, x in zip(g, xs) if u in h]
+    assert list(zip(*(c.tolist() for c in passages._met(b)))) == sorted(want)
+
+
+def test_near_copies_that_the_first_one_covers_meet_no_others(spark, frame, prose, monkeypatch):
+    """Where the first document with a pair of seeds covers the words between, the others that have it aren't matched."""
+    rng = np.random.default_rng(11)
+    base = prose(11, 80).split()
+    parts = [" ".join([prose(1000 + 50 * at + i, 20), *base[at : at + 14], prose(9000 + 50 * at + i, 20)]) for at in range(0, 67, 3) for i in range(15)]
+    texts = parts + [" ".join([*base[:39], f"x{i}", *base[40:]]) for i in range(20)]
+    asked, every = [], []
+    chains, others = passages.other_chains, passages._others
+
+    def counted(shared, pairs, *a):
+        asked.append(pairs.count())
+        return chains(shared, pairs, *a)
+
+    def before(docs, shared, spans, n, similarity, k, window):
+        held = passages.held_pairs(shared, k, n)
+        every.append(passages.open_pairs(shared, spans, k, n).join(held, "pair").where("pdoc < doc").select("doc", "pdoc").distinct().count())
+        return others(docs, shared, spans, n, similarity, k, window)
+
+    monkeypatch.setattr(passages, "other_chains", counted)
+    monkeypatch.setattr(passages, "_others", before)
+    assert passages.repeated_passages(frame([(i, t, "a") for i, t in enumerate(texts)])).count()
+    assert sum(asked) < 40 and every[0] > 100, (asked, every)
