@@ -261,3 +261,62 @@ def test_near_copies_that_the_first_one_covers_meet_no_others(spark, frame, pros
     monkeypatch.setattr(passages, "_others", before)
     assert passages.repeated_passages(frame([(i, t, "a") for i, t in enumerate(texts)])).count()
     assert sum(asked) < 40 and every[0] > 100, (asked, every)
+
+
+def test_parts_cover_all_that_any_part_of_a_chain_does():
+    """The few passages of a chain hold each word that some part of it makes a passage of, and each is one by itself."""
+    rng, more = np.random.default_rng(3), 0
+    for _ in range(300):
+        m = int(rng.integers(1, 12))
+        ls, wide = rng.integers(5, 40, m), rng.integers(0, 26, (m + 1, 2))
+        xs, ys = (20 + np.cumsum(wide[:m, i]) + np.cumsum(ls) - ls for i in (0, 1))
+        a, b = ([rng.integers(0, 4, n).tolist() for n in wide[:, i]] for i in (0, 1))
+        got = passages.parts(xs, ys, ls, a, b, 50, 0.8)
+        want, best = set(), passages.align(xs, ys, ls, a, b, 50, 0.8)
+        for i in range(m):
+            for j in range(i, m):
+                one = passages.align(xs[i : j + 1], ys[i : j + 1], ls[i : j + 1], a[i : j + 2], b[i : j + 2], 50, 0.8)
+                want |= set(range(*one[:2])) if one else set()
+        assert set().union(*(range(p[0], p[1]) for p in got)) == want
+        assert all(min(p[1] - p[0], p[3] - p[2]) >= 50 and 2 * p[4] >= 0.8 * (p[1] - p[0] + p[3] - p[2]) - 1e-6 for p in got)
+        assert len({p[0] for p in got}) == len(got) and (best is None or set(range(*best[:2])) <= want)
+        more += best is not None and set(range(*best[:2])) != want
+    assert more > 5
+
+
+def test_both_near_passages_of_a_chain_are_found(frame, prose):
+    """Two near passages, a few equal words between them: too little for one passage of all."""
+    a, b, few = prose(5001, 56).split(), prose(5002, 60).split(), prose(5003, 12)
+    text = lambda i, a, b: " ".join([*a, prose(5010 + i, 22), few, prose(5020 + i, 22), *b])
+    rows = [(1, text(1, a, b), "s"), (2, text(2, [*a[:28], "x", *a[29:]], [*b[:30], "y", *b[31:]]), "s")]
+    got = {(x.doc_id, x.start, x.stop, x.source_id, x.source_start, x.source_stop, x.n_same) for x in passages.repeated_passages(frame(rows)).collect()}
+    assert {(2, 0, 56, 1, 0, 56, 55), (2, 112, 172, 1, 112, 172, 59)} == got
+
+
+def test_thinned_runs_of_a_seed_have_the_same_pairs():
+    rng = np.random.default_rng(8)
+    for lo, hi in ((12, 82), (0, 46)):
+        step = 55 if hi == 82 else 31
+        for _ in range(20):
+            g = np.repeat(rng.integers(0, 6, 12), rng.integers(1, 200, 12))
+            x = np.arange(len(g))
+            keep = rng.random(len(g)) < 0.98
+            g, x, doc = g[keep], x[keep], np.sort(rng.integers(0, 2, int(keep.sum())))
+            few = passages.thinned(x, doc, g, step)
+
+            def pairs(at):
+                i, j = passages.seed_pairs(x[at], doc[at], lo, hi)
+                return {*zip(g[at][i].tolist(), g[at][j].tolist(), doc[at][i].tolist())}
+
+            assert pairs(few) == pairs(np.arange(len(g))) and len(few) < len(g) / 3
+    assert len(passages.thinned(*[np.zeros(0, np.int64)] * 3, 5)) == 0
+
+
+def test_only_seeds_that_an_earlier_document_has_are_paired(spark, frame, prose):
+    base = prose(6001, 200).split()
+    docs = [(0, " ".join(base)), (1, prose(6002, 90)), (2, " ".join([*base[:100], "x", *base[101:]])), (3, " ".join([*base[:50], prose(6003, 60)]))]
+    shared = passages.shared_seeds(spark.createDataFrame(docs, "doc bigint, text string"), passages.K, passages.WINDOW).localCheckpoint()
+    none = spark.createDataFrame([], "doc bigint, start int, stop int")
+    rows = passages.open_pairs(shared, none, passages.K, passages.MIN_WORDS).collect()
+    late = {(x.doc, x.g) for x in shared.where("first.doc < doc").collect()}
+    assert {x.doc for x in rows} == {2, 3} and all((x.doc, x.a) in late and (x.doc, x.b) in late for x in rows)
