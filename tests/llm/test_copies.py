@@ -320,3 +320,18 @@ def test_only_seeds_that_an_earlier_document_has_are_paired(spark, frame, prose)
     rows = passages.open_pairs(shared, none, passages.K, passages.MIN_WORDS).collect()
     late = {(x.doc, x.g) for x in shared.where("first.doc < doc").collect()}
     assert {x.doc for x in rows} == {2, 3} and all((x.doc, x.a) in late and (x.doc, x.b) in late for x in rows)
+
+
+def test_documents_too_short_for_a_passage_meet_nobody(spark, monkeypatch):
+    met, real = [], passages.other_chains
+
+    def seen(shared, pairs, *args):
+        met.extend(tuple(r) for r in pairs.select("doc", "pdoc").collect())
+        return real(shared, pairs, *args)
+
+    monkeypatch.setattr(passages, "other_chains", seen)
+    line, long = " ".join(f"l{i}" for i in range(40)), " ".join(f"p{i}" for i in range(60))
+    docs = [(i, f"{line} u{i}") for i in range(1, 8)] + [(i, f"{long} v{i}") for i in (8, 9)]
+    found = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert not met
+    assert {(r.doc_id, r.start, r.stop, r.source_id) for r in found} == {(9, 0, 60, 8)}
